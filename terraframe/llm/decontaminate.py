@@ -157,7 +157,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     at = [m.span() for m in WORD.finditer(text)]
     parts, end = [], 0
     for a, b in spans:
-        parts.append(text[end : at[a][0]])
+        parts += (text[end : at[a][0]], "\n")
         end = at[b - 1][1]
     return "".join([*parts, text[end:]])
 
@@ -236,24 +236,18 @@ def n_hit():
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE, **kw) -> DataFrame:
     """The documents without their hit spans; those with more than ``max_coverage`` of their words hit are gone.
-    Cutting can bring words together that form another window, so what was cut is judged again until it is clean."""
-    spark = docs.sparkSession
+    A span leaves a line break."""
     columns = docs.columns
     hit = find_contamination(docs, items, text_col=text_col, window=window, **kw)
     hit = hit.where(n_hit() <= max_coverage * F.col("n_words"))
-    single = list(automata(items, kw.get("item_id", "item_id"), kw.get("item_text", "text"), window))
-    shared = [spark.sparkContext.broadcast(a) for a in single[:1]]
     place = columns.index(text_col)
-    again = len(single) == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
             for k, spans in enumerate(batch.column("hit_spans").to_pylist()):
-                found = [(x["start"], x["end"]) for x in spans]
-                while found:
-                    texts[k] = cut(texts[k], found)
-                    found = shared[0].value.scan(words_of(texts[k]))[0] if again else []
+                if spans:
+                    texts[k] = cut(texts[k], [(x["start"], x["end"]) for x in spans])
             arrays = [batch.column(c) for c in columns]
             arrays[place] = pa.array(texts, arrays[place].type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
