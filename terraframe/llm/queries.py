@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, mixing, sharding, topk
+from . import chat, decontaminate, language, mixing, near_dedup, pii, quality, sharding, topk
 
 QUERIES = {
+    "op1_weighted_minhash": near_dedup.query,
     "op2_exact_top_k": topk.query,
     "op3_suffix_automaton": decontaminate.query,
+    "op4_bayes_quality": quality.query,
     "op6_curriculum_mix": mixing.query,
     "op7_kernel_language": language.query,
     "op8_chat_assembly": chat.query,
     "op9_extendible_shards": sharding.query,
+    "op10_lstm_crf_pii": pii.query,
 }
 
 ORACLES = {
