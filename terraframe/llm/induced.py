@@ -23,6 +23,8 @@ from .anchors import mix
 
 RANGES = 64
 BUDGET = 64 << 20
+#: Strings of names of at most so many symbols are sorted in memory, by doubling: there the recursion ends.
+SMALL = 1 << 18
 
 
 class Workspace:
@@ -212,11 +214,27 @@ def suffix_order(text: np.ndarray, space: Workspace) -> np.ndarray:
         if names[-1] + 1 < len(stars):
             reduced = np.empty(len(stars), np.int64)
             reduced[rank] = names
-            order = stars[suffix_order(reduced, space)]
+            order = stars[_doubled(reduced) if len(reduced) <= SMALL else suffix_order(reduced, space)]
         stars = order
     return _sort(space, text, rising, stars, top)
 
 
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """Positions of the suffixes of a short string in order, by sorting on ever longer prefixes."""
+    n, rank, k = len(names), names, 1
+    while True:
+        key = rank * (n + 1)
+        key[:-k] += rank[k:] + 1
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        if new[-1] + 1 == n:
+            return order
+        k *= 2
+
+
 _P: list[np.ndarray] = []
 
 

@@ -40,8 +40,8 @@ from .induced import Workspace, common_prefixes, suffix_order
 
 LENGTH = 100
 GRAM = 32
-PIECE = 2 << 20
-SHARD_BYTES = 8 << 20
+PIECE = 1 << 20
+SHARD_BYTES = 2 << 20
 LEAST_ID = -(1 << 63)
 
 _ROW = "kind int, anchor long, block long, doc long, t long, lo long, n int, off int"

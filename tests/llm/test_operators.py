@@ -220,8 +220,9 @@ def test_rates_are_shrunk_and_kept(spark):
 # Substrings.
 
 
-@pytest.mark.parametrize("budget", [1 << 10, 1 << 26])
-def test_suffix_order_is_sorted(budget):
+@pytest.mark.parametrize("budget,small", [(1 << 10, 0), (1 << 26, 0), (1 << 26, 1 << 18)])
+def test_suffix_order_is_sorted(budget, small, monkeypatch):
+    monkeypatch.setattr(induced, "SMALL", small)
     rng = np.random.default_rng(0)
     for trial in range(60):
         text = rng.integers(1, 2 + trial % 4, int(rng.integers(1, 150)))
