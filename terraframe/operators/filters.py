@@ -66,12 +66,12 @@ def sobel_magnitude(x: np.ndarray, norm: str = "l2") -> np.ndarray:
     if norm not in ("l1", "l2"):
         raise ValueError(f"norm must be l1 or l2, not {norm!r}")
     gx, gy = _sobel(x)
-    return np.abs(gx) + np.abs(gy) if norm == "l1" else np.sqrt(gx * gx + gy * gy)
+    return _keep_missing(x, np.abs(gx) + np.abs(gy) if norm == "l1" else np.sqrt(gx * gx + gy * gy))
 
 
 def sobel_direction(x: np.ndarray) -> np.ndarray:
     gx, gy = _sobel(x)
-    return np.arctan2(gy, gx)
+    return _keep_missing(x, np.arctan2(gy, gx))
 
 
 def laplacian(x: np.ndarray, connectivity: int = 4) -> np.ndarray:

@@ -101,7 +101,7 @@ def blocks_with_halo(df: DataFrame, keys: list[str], size: int, halo: int, value
     g = each.groupBy(*keys, "block_r", "block_c").agg(
         F.transform(both, lambda x: x["v"]).alias("data"), F.min("row").alias("row0"), F.min("col").alias("col0"), (F.max("row") - F.min("row") + 1).alias("n_rows"), (F.max("col") - F.min("col") + 1).alias("n_cols")
     )
-    return g.where((F.floor(F.col("row0") / size) <= F.col("block_r")) & (F.size("data") == F.col("n_rows") * F.col("n_cols")))
+    return g.where((F.col("row0") + F.col("n_rows") > F.col("block_r") * size) & (F.col("col0") + F.col("n_cols") > F.col("block_c") * size))  # one that only a halo reaches has no pixel of its own
 
 
 def from_tiles(df: DataFrame, keys: list[str], data: str = "data", cols: str = "n_cols", out: str = "value") -> DataFrame:

@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scaling import from_nodata, to_nodata
 from ..functions.spectral import ALIASES
 
-REPORT = T.StructType.fromDDL("passed BOOLEAN, cloud_ratio DOUBLE, snow_ratio DOUBLE, confidence_score DOUBLE, dimension_pass BOOLEAN, radiometry_pass BOOLEAN, issues ARRAY<STRING>")
-STATS = T.StructType.fromDDL("band STRING, mean DOUBLE, std DOUBLE, min DOUBLE, max DOUBLE, n_pixels BIGINT")
+REPORT = "passed BOOLEAN, cloud_ratio DOUBLE, snow_ratio DOUBLE, confidence_score DOUBLE, dimension_pass BOOLEAN, radiometry_pass BOOLEAN, issues ARRAY<STRING>"
+STATS = "band STRING, mean DOUBLE, std DOUBLE, min DOUBLE, max DOUBLE, n_pixels BIGINT"
 
 
 def ingest(df: DataFrame, value: str = "value", nodata: float = -9999.0) -> DataFrame:
@@ -79,7 +78,7 @@ def write_reports(df: DataFrame, path: str) -> None:
 
 
 def save_stats(stats: DataFrame, path: str) -> None:
-    stats.select(*STATS.fieldNames()).coalesce(1).write.mode("overwrite").json(path)  # a row for each band
+    stats.select("band", "mean", "std", "min", "max", "n_pixels").coalesce(1).write.mode("overwrite").json(path)  # a row for each band
 
 
 def load_stats(spark: SparkSession, path: str) -> DataFrame:
