@@ -20,9 +20,10 @@ by its value and by 32 more bits of that hash.
 
 Large groups: texts equal in their words are one node from the start. Within a bucket, agreement is compared
 for all members, but what is emitted is, for more than ``SMALL`` members, a maximum spanning forest and the
-nearest neighbours of each. After the first components, buckets that still hold several of them emit every
-remaining candidate between different components, so no link between components is lost. Buckets of more
-than ``BLOCK`` members are cut into blocks, and pairs of blocks are tasks of their own.
+nearest neighbours of each. After the first components, buckets that still hold several of them compute the
+exact similarities of all their members, one to all others at a time, and emit what joins components, so no link
+between components is lost. Buckets of more than ``2 * BLOCK`` members are cut into blocks, and pairs of blocks
+are tasks of their own.
 
 Defined results
     * A null text is in no class but its own, with a null class id if its id is null; texts without words are
@@ -53,7 +54,7 @@ DRAWS = BANDS * ROWS
 #: Draws in which candidates agree at least; a pair at the threshold misses this about 4 times in 100,000.
 AGREE = 23
 THETA = 0.01
-SMALL, NEAREST, BLOCK = 48, 8, 2048
+SMALL, NEAREST, BLOCK = 8, 3, 2048
 SLICE = 1 << 20
 PROPOSE_SHINGLES = 4 << 20
 
@@ -284,17 +285,14 @@ class _Forest:
         return x
 
 
-def _pairs(keys: list[str], draws: np.ndarray, roots: list[str] | None) -> list[tuple[str, str]]:
-    """Candidates of one bucket. With roots: all candidates between different components."""
+def _pairs(keys: list[str], draws: np.ndarray) -> list[tuple[str, str]]:
+    """Candidates of one bucket."""
     n, out = len(keys), []
     short = draws.astype(np.uint32)
-    if roots is not None or n <= SMALL:
-        label = np.array(roots) if roots is not None else None
+    if n <= SMALL:
         for i in range(n - 1):
-            agree = (short[i + 1 :] == short[i]).sum(1) >= AGREE
-            if label is not None:
-                agree &= label[i + 1 :] != label[i]
-            out += [(keys[i], keys[j + i + 1]) for j in np.flatnonzero(agree)]
+            agree = (short[i + 1 :] == short[i]).sum(1)
+            out += [(keys[i], keys[j + i + 1]) for j in np.flatnonzero(agree >= AGREE)]
         return out
     # Prim's algorithm for the maximum spanning forest; the rows it computes also give the nearest neighbours.
     best, link, left = np.full(n, -1), np.full(n, -1), np.ones(n, bool)
@@ -312,32 +310,71 @@ def _pairs(keys: list[str], draws: np.ndarray, roots: list[str] | None) -> list[
     return out
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: (bucket, k, draws, root)."""
-    now, keys, draws, roots = None, [], [], []
+def _links(keys: list[str], roots: list[str], blobs: list[bytes], threshold: float) -> list[tuple[str, str]]:
+    """Links between the components of one bucket, enough to join all that have any: exact similarities of one
+    member to all others at a time, from posting lists of the bucket's shingles."""
+    sets = [_parse(x) for x in blobs]
+    sizes = np.array([len(h) for h, _ in sets])
+    member = np.repeat(np.arange(len(sets)), sizes)
+    hashes, weights = np.concatenate([h for h, _ in sets]), np.concatenate([w for _, w in sets])
+    total = np.bincount(member, weights, len(sets))
+    order = np.argsort(hashes, kind="stable")
+    values, starts = np.unique(hashes[order], return_index=True)
+    stops = np.append(starts[1:], len(order))
+    at = np.searchsorted(values, hashes)
+    member_of, weight_of = member[order], weights[order]
+    names, label = np.unique(np.array(roots), return_inverse=True)
+    forest, out = _Forest(len(names)), []
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    for i in range(len(sets)):
+        own = slice(first[i], first[i + 1])
+        lo, n = starts[at[own]], (stops - starts)[at[own]]
+        entries = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        least = np.bincount(member_of[entries], np.minimum(weight_of[entries], np.repeat(weights[own], n)), len(sets))
+        similar = least >= threshold * (total + total[i] - least)
+        for j in np.flatnonzero(similar & (label != label[i])).tolist():
+            x, y = forest.root(int(label[i])), forest.root(int(label[j]))
+            if x != y:
+                forest.up[x] = y
+                out.append((keys[i], keys[j]))
+    return out
 
-    def flush():
-        known = roots if roots[0] is not None else None
-        if len(keys) < 2 or known is not None and len(set(known)) < 2:
-            return []
-        return _pairs(keys, np.frombuffer(b"".join(draws), np.uint64).reshape(-1, DRAWS), known)
 
-    found: list[tuple[str, str]] = []
-    as_batch = lambda: pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.string()), pa.array([max(x) for x in found], pa.string())], names=["u", "v"])
-    for batch in batches:
-        for bucket, k, d, root in zip(*(batch.column(c).to_pylist() for c in ("bucket", "k", "draws", "root"))):
-            if bucket != now:
-                if keys:
-                    found += flush()
-                now, keys, draws, roots = bucket, [], [], []
-                if len(found) > 50_000:
-                    yield as_batch()
-                    found = []
-            keys.append(k), draws.append(d), roots.append(root)
-    if keys:
-        found += flush()
-    if found:
-        yield as_batch()
+def _by_bucket(columns: tuple[str, ...], kind):
+    """Rows sorted by bucket; ``kind`` gives a bucket's pairs from its members' columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, found = None, [[] for _ in columns], []
+
+        def flush():
+            if len(held[0]) > 1:
+                found.extend(kind(*held))
+            for x in held:
+                x.clear()
+
+        def pairs():
+            out = pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.string()), pa.array([max(x) for x in found], pa.string())], names=["u", "v"])
+            found.clear()
+            return out
+
+        for batch in batches:
+            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", *columns))):
+                if bucket != now:
+                    flush()
+                    now = bucket
+                    if len(found) > 50_000:
+                        yield pairs()
+                for x, y in zip(held, row):
+                    x.append(y)
+        flush()
+        if found:
+            yield pairs()
+
+    return run
+
+
+def _candidates(keys: list[str], draws: list[bytes]) -> list[tuple[str, str]]:
+    return _pairs(keys, np.frombuffer(b"".join(draws), np.uint64).reshape(-1, DRAWS))
 
 
 def _blob(shared):
@@ -410,23 +447,27 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, thet
     buckets = _blocks(narrow.join(shared_keys, "bucket"))
     buckets = materialize(buckets.join(texts.select("k", "draws"), "k"))
 
-    def link(rooted: DataFrame) -> DataFrame:
-        dealt = rooted.select("bucket", "k", "draws", "root").repartition("bucket").sortWithinPartitions("bucket", "k")
-        pairs = materialize(dealt.mapInArrow(_candidates, "u string, v string").distinct())
-        needed = pairs.select(F.col("u").alias("k")).unionByName(pairs.select(F.col("v").alias("k"))).distinct()
-        owners = texts.join(needed, "k", "left_semi").select("k", F.col("owner.id").alias("owner_id"), F.col("owner.t").alias("owner_t"))
+    def blobs(needed: DataFrame) -> DataFrame:
+        """(k, blob): the weighted shingles of some nodes."""
+        owners = texts.join(needed.select("k").distinct(), "k", "left_semi").select("k", F.col("owner.id").alias("owner_id"), F.col("owner.t").alias("owner_t"))
         owned = rows.join(owners, F.col("id").eqNullSafe(F.col("owner_id")) & (F.col("t") == F.col("owner_t"))).select("k", "text")
-        blobs = materialize(owned.mapInArrow(_blob(weights), "k string, blob binary").groupBy("k").agg(F.first("blob").alias("blob")))
-        left, right = (blobs.withColumnsRenamed({"k": k, "blob": x}) for k, x in (("u", "a"), ("v", "b")))
-        return materialize(pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(_verify(threshold), "u string, v string"))
+        return materialize(owned.mapInArrow(_blob(weights), "k string, blob binary").groupBy("k").agg(F.first("blob").alias("blob")))
+
+    def dealt(members: DataFrame) -> DataFrame:
+        return members.repartition("bucket").sortWithinPartitions("bucket", "k")
 
-    links = link(buckets.withColumn("root", F.lit(None).cast("string")))
+    pairs = materialize(dealt(buckets).mapInArrow(_by_bucket(("k", "draws"), _candidates), "u string, v string").distinct())
+    sets = blobs(pairs.select(F.col("u").alias("k")).unionByName(pairs.select(F.col("v").alias("k"))))
+    left, right = (sets.withColumnsRenamed({"k": k, "blob": x}) for k, x in (("u", "a"), ("v", "b")))
+    links = materialize(pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(_verify(threshold), "u string, v string"))
     roots = components(links)
-    rooted = buckets.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+
+    rooted = buckets.select("bucket", "k").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     split = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     rest = materialize(rooted.join(split.where(f"n > {SMALL} AND lo <> hi").select("bucket"), "bucket", "left_semi"))
     if not rest.isEmpty():
-        more = link(rest)
+        resolve = lambda keys, of, held: _links(keys, of, held, threshold)
+        more = materialize(dealt(rest.join(blobs(rest), "k")).mapInArrow(_by_bucket(("k", "root", "blob"), resolve), "u string, v string").distinct())
         if not more.isEmpty():
             roots = components(links.unionByName(more))
     node = texts.select("k", "least", "owner").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
