@@ -7,8 +7,8 @@ its host, by a prior strength that the method of moments reads off the spread of
 is left out of its own path's and host's sums, and its posterior log-odds are its evidence (log-odds over the
 global rate) plus the log-odds of its path.
 
-The regression is fitted on at most ``PER_LABEL`` labelled rows of each value, those with the smallest hash
-of their id; only their features come to the driver. All sums cover all documents.
+The regression is fitted on about ``PER_LABEL`` labelled rows of each value, those whose id's hash is below
+that share of all hashes; only their features come to the driver. All sums cover all documents.
 
 Defined results
     * A null or empty text has the features of an empty text and is judged like any other.
@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from .common import hash60, materialize, python_ready, table
 
@@ -87,12 +86,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
 
 
-def train(rows: DataFrame, per_label: int = PER_LABEL) -> Logistic | None:
-    """rows: id, text, label (0 or 1)."""
+def sample_labels(known: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+    """known: label_id, label. About ``per_label`` ids of each label 0 and 1: those whose hash is below that share of all hashes."""
+    known = known.where("label IN (0, 1)")
+    share = {r["label"]: min(1.0, per_label / r["n"]) for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    below = F.when(F.col("label") == 0, F.lit(int(share.get(0.0, 0) * 2**60))).otherwise(F.lit(int(share.get(1.0, 0) * 2**60)))
+    return known.where(hash60(F.col("label_id")) < below)
+
+
+def train(rows: DataFrame) -> Logistic | None:
+    """rows: id, text, label (0 or 1), a bounded sample. Of rows that repeat an id one counts."""
     python_ready(rows.sparkSession)
-    order = W.partitionBy("label").orderBy(hash60(F.col("id")), F.col("id"), F.xxhash64("text"))
-    sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).select("label", "text")
-    found = sample.mapInArrow(_features, "label double, x array<double>").collect()
+    one = rows.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
+    found = one.select("label", "text").mapInArrow(_features, "label double, x array<double>").collect()
     y = np.array([r["label"] for r in found])
     if len(set(y.tolist())) < 2:
         return None
@@ -137,7 +143,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     """One row per document: id_col, host, path, evidence, host_rate, path_rate, p_quality double, keep boolean."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), host.alias("host"), path.alias("path"))
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.avg(F.col(label_col).cast("double")).alias("label"))
-    taught = rows.select("id", "text").join(known.where("label IN (0, 1)"), F.col("id") == F.col("label_id"))
+    taught = rows.select("id", "text").join(F.broadcast(sample_labels(known)), F.col("id") == F.col("label_id"))  # PER_LABEL bounds it
     model = train(taught.select("id", "text", "label"))
     found = materialize(evidence(rows, model))
     found = found.join(known, F.col("id") == F.col("label_id"), "left").drop("label_id")
