@@ -37,7 +37,7 @@ TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW, STRIDE = 96, 48
 EMBED, HIDDEN, SYMBOLS = 10, 16, 131
 BATCH = 1024
-MARGIN = 2.0
+MARGIN = 3.0
 
 _RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -324,7 +324,8 @@ class _Text:
             ids = encode(text[k * STRIDE : k * STRIDE + WINDOW])
             yield k * STRIDE, np.pad(ids, (0, WINDOW - len(ids)), constant_values=SYMBOLS - 1)
 
-    def take(self, at: int, tags: np.ndarray, lead: np.ndarray) -> None:
+    def take(self, at: int, tags: np.ndarray, lead: np.ndarray, steps: np.ndarray) -> None:
+        """The spans of a window, with how much better the path scores with them than with O in their place."""
         begins = np.flatnonzero(tags % 2 == 1)
         for b in begins.tolist():
             e = b + 1
@@ -333,8 +334,11 @@ class _Text:
             if (b == 0 and at > 0) or (e == WINDOW and at + WINDOW < len(self.text)):
                 continue
             kind = KINDS[(tags[b] - 1) // 2]
-            if lead[b:e].mean() >= MARGIN and _FORM[kind](self.text[at + b : at + e]):
-                self.found.append((at + b, at + e, kind, float(lead[b:e].sum())))
+            path = [*(tags[b - 1 : b] if b else ()), *tags[b:e], *tags[e : e + 1]]
+            plain = [*(tags[b - 1 : b] if b else ()), *([0] * (e - b)), *tags[e : e + 1]]
+            score = lead[b:e].sum() + sum(steps[i, j] for i, j in zip(path, path[1:])) - sum(steps[i, j] for i, j in zip(plain, plain[1:]))
+            if score >= MARGIN and _FORM[kind](self.text[at + b : at + e]):
+                self.found.append((at + b, at + e, kind, float(score)))
 
     def added(self) -> list[tuple[str, int, int]]:
         taken = sorted(x for spans in self.base.values() for x in spans)
@@ -372,7 +376,7 @@ def find(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> Dat
             def decode():
                 tags, lead = net.decode(np.stack(ids))
                 for text, a, t, s in zip(waiting, at, tags, lead):
-                    text.take(a, t, s)
+                    text.take(a, t, s, net.p["t"])
                 waiting.clear(), at.clear(), ids.clear()
 
             for text in batch.column(text_col):

@@ -415,6 +415,14 @@ def test_network_learns_what_it_is_taught():
     assert (tags == y).mean() > 0.96 and (tags[y > 0] == y[y > 0]).mean() > 0.92
 
 
+def test_network_adds_what_the_patterns_leave_out(spark):
+    texts = ["the and ding call me (743) 555-3824 or 555-123-4567 now the ein.", "nothing of 12:30 on 10.20.2020 with 1234567 and v1.22.3 here", "plain words of no interest at all"]
+    out = {r["doc_id"]: r for r in pii.find(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    found = [texts[0][int(s.split(":")[1]) : int(s.split(":")[2])] for s in out[0]["spans"].split(",") if s.startswith("phone")]
+    assert out[0]["n_phone"] == 0 and "(743) 555-3824" in found and out[0]["n_added"] == len(found)
+    assert out[1]["spans"] == out[2]["spans"] == ""
+
+
 def test_gradient_is_the_slope():
     rng = np.random.default_rng(0)
     net = pii.Network(3)
