@@ -38,7 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: later jobs, and retries after a lost
-    executor, start from that table instead of from the lineage above it."""
+    executor, start from that table instead of from the lineage above it. Results read these tables lazily, so
+    they stay there until whoever owns the folder empties it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/terraframe-{uuid.uuid4().hex}"
     df.write.parquet(path)

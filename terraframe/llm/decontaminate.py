@@ -237,22 +237,20 @@ def n_hit():
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE, **kw) -> DataFrame:
     """The documents without their hit spans; those with more than ``max_coverage`` of their words hit are gone.
     A span leaves a line break."""
-    columns = docs.columns
-    hit = find_contamination(docs, items, text_col=text_col, window=window, **kw)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    hit = find_contamination(own, items, window=window, **kw)
     hit = hit.where(n_hit() <= max_coverage * F.col("n_words"))
-    place = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
+            texts = batch.column("text").to_pylist()
             for k, spans in enumerate(batch.column("hit_spans").to_pylist()):
                 if spans:
                     texts[k] = cut(texts[k], [(x["start"], x["end"]) for x in spans])
-            arrays = [batch.column(c) for c in columns]
-            arrays[place] = pa.array(texts, arrays[place].type)
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    return hit.mapInArrow(run, docs.schema)
+    clean = hit.mapInArrow(run, own.schema)
+    return clean.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,7 +188,10 @@ def test_spans_are_cut_and_covered_documents_go(spark):
     docs, items = contamination_cases()
     items = items[:2]
     d = documents(spark, [(i, t, "en", "s") for i, t in enumerate(docs[:9])])
-    out = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    d = d.withColumnsRenamed({"k": "items", "label": "hit_spans", "n": "n_words"})
+    done = decontaminate.decontaminate(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert done.dtypes == d.dtypes
+    out = {r["doc_id"]: r["text"] for r in done.collect()}
     assert 6 not in out and 2 not in out and out[1] == docs[1] and out[4] is None
     assert all(brute_hits(t, items)[1] == 0 for t in out.values())
     assert fold(out[0]) == fold(docs[0])[:20] + fold(docs[0])[33:]
