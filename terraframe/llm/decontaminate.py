@@ -176,7 +176,9 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 ADDED = T.StructType().add("n_words", "long").add("hit_spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("items", T.ArrayType(T.StringType()))
 
 
-def _step(automaton, text_col: str, kept: list[str]):
+def _step(automaton, text_col: str, kept: list[str], max_coverage: float | None = None):
+    """Adds what was found; with a limit instead cuts it out of the texts, and leaves out those over the limit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = automaton.value
         for batch in batches:
@@ -195,6 +197,12 @@ def _step(automaton, text_col: str, kept: list[str]):
                 spans.append([{"start": a, "end": b} for a, b in found])
                 items.append(sorted(of))
             columns = [batch.column(c) for c in kept]
+            if max_coverage is not None:
+                stay = [sum(x["end"] - x["start"] for x in own_spans) <= max_coverage * n for own_spans, n in zip(spans, n_words)]
+                texts = [cut(t.as_py(), [(x["start"], x["end"]) for x in own_spans]) if own_spans else t.as_py() for t, own_spans in zip(batch.column(text_col), spans)]
+                columns[kept.index(text_col)] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=kept).filter(pa.array(stay, pa.bool_()))
+                continue
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))], names=[*kept, "n_words", "hit_spans", "items"])
 
     return run
@@ -210,8 +218,9 @@ def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
         yield Automaton([(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()], window)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", keep_text: bool = True, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents with n_words, hit_spans (word numbers, end exclusive) and items (ids as sorted strings)."""
+def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", keep_text: bool = True, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float | None = None) -> DataFrame:
+    """The documents with n_words, hit_spans (word numbers, end exclusive) and items (ids as sorted strings).
+    With ``max_coverage`` instead the documents within it, without their hit spans."""
     spark = docs.sparkSession
     python_ready(spark)
     added = ADDED.fieldNames()
@@ -221,13 +230,13 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
         if previous is not None:
             out = materialize(_apply(spark, out, previous, text_col, True))
         previous = automaton
-    return _apply(spark, out, previous, text_col, keep_text)
+    return _apply(spark, out, previous, text_col, keep_text, max_coverage)
 
 
-def _apply(spark: SparkSession, df: DataFrame, automaton: Automaton, text_col: str, keep_text: bool) -> DataFrame:
+def _apply(spark: SparkSession, df: DataFrame, automaton: Automaton, text_col: str, keep_text: bool, max_coverage: float | None = None) -> DataFrame:
     kept = [c for c in df.columns if c not in ADDED.fieldNames() and (keep_text or c != text_col)]
-    schema = T.StructType([df.schema[c] for c in kept] + ADDED.fields)
-    return df.mapInArrow(_step(spark.sparkContext.broadcast(automaton), text_col, kept), schema)
+    schema = T.StructType([df.schema[c] for c in kept] + (ADDED.fields if max_coverage is None else []))
+    return df.mapInArrow(_step(spark.sparkContext.broadcast(automaton), text_col, kept, max_coverage), schema)
 
 
 def n_hit():
@@ -238,18 +247,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", win
     """The documents without their hit spans; those with more than ``max_coverage`` of their words hit are gone.
     A span leaves a line break."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    hit = find_contamination(own, items, window=window, **kw)
-    hit = hit.where(n_hit() <= max_coverage * F.col("n_words"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for k, spans in enumerate(batch.column("hit_spans").to_pylist()):
-                if spans:
-                    texts[k] = cut(texts[k], [(x["start"], x["end"]) for x in spans])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
-
-    clean = hit.mapInArrow(run, own.schema)
+    clean = find_contamination(own, items, window=window, max_coverage=max_coverage, **kw)
     return clean.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 

@@ -36,7 +36,7 @@ BUCKETS = 1 << 15
 PER_LANGUAGE = 150
 LANDMARKS = 64
 RIDGE = 1e-2
-GROUP_DOCS, GROUP_CHARS = 128, 1 << 19
+GROUP_DOCS, GROUP_CHARS = 64, 1 << 18
 UNKNOWN = "und"
 
 

@@ -56,7 +56,7 @@ AGREE = 23
 THETA = 0.01
 SMALL, NEAREST, BLOCK = 8, 3, 2048
 SLICE = 1 << 20
-PROPOSE_SHINGLES = 4 << 20
+PROPOSE_SHINGLES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -231,8 +231,8 @@ def _sign(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh, sample = shared.value, Sampler()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                rows = batch.slice(lo, 64)
+            for lo in range(0, batch.num_rows, 16):
+                rows = batch.slice(lo, 16)
                 keys, draws = _sign_rows(rows.column("text").to_pylist(), weigh, sample)
                 yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("t"), pa.array(keys, pa.string()), pa.array(draws, pa.binary())], names=["id", "t", "k", "draws"])
 
