@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: A round's table has about as many rows a file, or a file for every core if that is more files.
+ROWS_PER_FILE = 250_000
+
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
@@ -27,10 +30,11 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """From (u, v), both of one ordered type: (node, root), root the least node of the component, without the roots themselves."""
     now = materialize(edges.where("u <> v").distinct())
-    state = None
+    rows, state = now.count(), None
     while True:
-        new = materialize(_small(_large(now)))
+        files = max(edges.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE))
+        new = materialize(_small(_large(now)).coalesce(files))
         seen = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        now, state = new, tuple(seen)
+        now, rows, state = new, seen[0], tuple(seen)

@@ -459,8 +459,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, thet
     pairs = materialize(dealt(buckets).mapInArrow(_by_bucket(("k", "draws"), _candidates), "u string, v string").distinct())
     sets = blobs(pairs.select(F.col("u").alias("k")).unionByName(pairs.select(F.col("v").alias("k"))))
     left, right = (sets.withColumnsRenamed({"k": k, "blob": x}) for k, x in (("u", "a"), ("v", "b")))
-    links = materialize(pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(_verify(threshold), "u string, v string"))
-    roots = components(links)
+    roots = components(pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(_verify(threshold), "u string, v string"))
 
     rooted = buckets.select("bucket", "k").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     split = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -469,7 +468,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, thet
         resolve = lambda keys, of, held: _links(keys, of, held, threshold)
         more = materialize(dealt(rest.join(blobs(rest), "k")).mapInArrow(_by_bucket(("k", "root", "blob"), resolve), "u string, v string").distinct())
         if not more.isEmpty():
-            roots = components(links.unionByName(more))
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))  # roots join what the links do
     node = texts.select("k", "least", "owner").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     each = node.groupBy("root").agg(F.min("least").alias("class_id"), F.min("owner").alias("keeper"))
     classes = node.select("k", "root").join(each, "root").select("k", "class_id", "keeper")
