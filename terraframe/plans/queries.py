@@ -154,7 +154,7 @@ def _(s, d):
 
 _METRICS = f"""{views.SCL}, a AS (SELECT scene_id, count(*) FILTER (scl NOT IN (0, 6)) AS valid, count(*) FILTER (scl IN (3, 8, 9, 10)) AS cloud, count(*) FILTER (scl = 11) AS snow, count(*) FILTER (scl IN (0, 6)) AS water_excluded FROM scl GROUP BY 1),
 m AS (SELECT *, CASE WHEN valid > 0 THEN cloud / valid ELSE 0 END AS cloud_ratio, CASE WHEN valid > 0 THEN snow / valid ELSE 0 END AS snow_ratio FROM a),
-c AS (SELECT *, CASE WHEN valid = 0 OR snow_ratio > 0.5 OR cloud_ratio > 0.35 THEN 0.0 WHEN cloud_ratio < 0.1 THEN 1.0 WHEN cloud_ratio < 0.3 THEN 0.75 WHEN cloud_ratio < 0.4 THEN 0.5 ELSE 0.0 END AS confidence_score FROM m)"""
+c AS (SELECT *, (CASE WHEN valid = 0 OR snow_ratio > 0.5 OR cloud_ratio > 0.35 THEN 0.0 WHEN cloud_ratio < 0.1 THEN 1.0 WHEN cloud_ratio < 0.3 THEN 0.75 WHEN cloud_ratio < 0.4 THEN 0.5 ELSE 0.0 END)::DOUBLE AS confidence_score FROM m)"""
 
 
 @query("validate_scl", f"WITH {_METRICS} SELECT scene_id, round(confidence_score, 6) AS confidence_score, round(cloud_ratio, 6) AS cloud_ratio, round(snow_ratio, 6) AS snow_ratio, water_excluded, concat_ws(',', CASE WHEN valid = 0 THEN 'no valid pixels' END, CASE WHEN cloud_ratio > 0.3 THEN 'cloud' END, CASE WHEN snow_ratio > 0.5 THEN 'snow' END) AS issues FROM c")
@@ -181,7 +181,7 @@ def _(s, d):
 @query(
     "sidecar_join",
     f"WITH {_METRICS} SELECT s_suppkey AS scene_id, round(CASE WHEN s_suppkey % 3 = 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 0.25 ELSE 0 END ELSE coalesce(cloud_ratio, 0) END, 6) AS cloud_ratio, "
-    "CASE WHEN s_suppkey % 3 = 0 THEN 'sidecar' WHEN c.scene_id IS NOT NULL THEN 'scl' ELSE 'default' END AS report_source, round(CASE WHEN s_suppkey % 3 = 0 THEN 1.0 ELSE coalesce(confidence_score, 1.0) END, 6) AS confidence_score "
+    "CASE WHEN s_suppkey % 3 = 0 THEN 'sidecar' WHEN c.scene_id IS NOT NULL THEN 'scl' ELSE 'default' END AS report_source, round((CASE WHEN s_suppkey % 3 = 0 THEN 1.0 ELSE coalesce(confidence_score, 1.0) END)::DOUBLE, 6) AS confidence_score "
     "FROM supplier LEFT JOIN c ON c.scene_id = s_suppkey AND s_suppkey % 5 > 0",
 )
 def _(s, d):
