@@ -57,7 +57,7 @@ def _ips(text: str) -> Iterator[tuple[int, int]]:
     while k + 3 < len(groups):
         four = groups[k : k + 4]
         if all(b[0] == a[1] + 1 and text[a[1]] == "." for a, b in zip(four, four[1:])):
-            if all(b - a <= 1000 and int(text[a:b]) <= 255 for a, b in four):
+            if all(len(part) <= 3 and int(part or 0) <= 255 for part in (text[a:b].lstrip("0") for a, b in four)):
                 yield four[0][0], four[3][1]
             k += 4
         else:

@@ -448,3 +448,8 @@ def test_added_spans_stay_apart():
     row = pii._Text("+1 (743) 555-3824 and 555-123-4567 here")
     row.found = [(22, 34, "phone", 5.0), (20, 34, "phone", 2.0), (3, 17, "phone", 9.0), (22, 34, "card", 4.0)]
     assert row.added() == [("phone", 22, 34)]
+
+
+def test_address_parts_may_begin_with_any_number_of_zeros():
+    text = f"{'0' * 5000}10.0.0.{'0' * 2000} then {'0' * 2000}256.1.1.1"
+    assert pii.base_spans(text)["ip"] == [(0, 5002 + 5 + 2000)]
