@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written before the next stage reads it.
 All but the last return the columns of ``documents``.
 
-    language   keeps documents with a language; a text without a letter, or claimed by no language's regression, goes
+    language   keeps documents with a language; a text without a letter, or foreign to every language, goes
     dedup      keeps the document with the smallest id of each near-duplicate class
     decontaminate  cuts benchmark passages out of texts; a document that is mostly benchmark goes
     mix        repeats or drops documents so that sources meet their target weights, in training order
@@ -19,14 +19,11 @@ from terraframe.llm import decontaminate as decontamination
 from terraframe.llm import language, mixing, near_dedup, sharding
 from terraframe.llm.common import materialize, table
 
-#: Below this score every language's regression rejects the text; far below what a clean text gets.
-LEAST_SCORE = 0.2
-
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language.train(language.labelled(docs))
+    model = language.train(language.labelled(docs), reject=True)
     found = language.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select("row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

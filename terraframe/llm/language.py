@@ -8,13 +8,25 @@ matrix products per batch of documents: presence times landmarks, kernel times c
 
 Training uses at most ``PER_LANGUAGE`` rows of each language, those with the smallest hash of their id among
 the labelled rows that are not held out, and of these ``LANDMARKS`` as landmarks. Only their presence bits,
-``BUCKETS / 8`` bytes a row, come to the driver. Whole texts are read in training and in prediction.
+``BUCKETS / 8`` bytes a row, come to the driver, and where texts are to be rejected the first ``HEAD``
+characters. Whole texts are read in training and in prediction.
+
+The regressions' values only compare languages: for L of them they sum to about 2 - L, so that some value is
+high for any text. Where texts are to be rejected, ``Familiar`` judges them by the mean, over all n-grams of
+a text that start with a letter, of the log share of training texts with the n-gram, in the language where it is
+most common; so texts of several languages pass. The mean does not depend on a text's length, only its spread
+does. For each class of length (powers of 2 of different longest n-grams, counted as the inverse of the chance
+that two are equal, so that repeating a word does not lengthen a text) the floor comes from excerpts of each language's
+training texts, left out of their own shares: ``SLACK`` times as far below their median as their lowest
+hundredth, of all languages the lowest.
 
 Defined results
     * A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing is labelled.
     * The score is the winning regression's value mapped from [-1, 1] to [0, 1]; ties go to the first language
       in code-point order. Repeated rows are predicted alike. A null id is hashed as the empty text.
     * Columns of the input pass through; names the operator adds win.
+    * Where texts are rejected, a foreign one is ``und`` with score 0. Texts of less than ``2 ** SHORTEST``
+      different n-grams are not rejected, and with a language of one training text none is.
 """
 
 from __future__ import annotations
@@ -38,6 +50,9 @@ LANDMARKS = 64
 RIDGE = 1e-2
 GROUP_DOCS, GROUP_CHARS = 64, 1 << 18
 UNKNOWN = "und"
+HEAD = 1 << 11
+SHORTEST, LONGEST = 2, 10
+SLACK = 5
 
 
 def _fold_table() -> np.ndarray:
@@ -91,9 +106,61 @@ def presence(texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+class Familiar:
+    """How common the n-grams of a text are in the languages, and the least that is still one of them."""
+
+    def __init__(self, rows: np.ndarray, labels: np.ndarray, n_languages: int, heads: list[np.ndarray]):
+        """rows, labels: as those of the model; heads: the texts' beginnings as letters."""
+        df = np.stack([rows[labels == k].sum(0) for k in range(n_languages)])
+        n = np.bincount(labels, minlength=n_languages)
+        shares = np.log((df + 0.1) / (n[:, None] + 0.1))
+        self.weights = shares.max(0)
+        self.floors = np.full(LONGEST + 1, np.inf)
+        for lang in range(n_languages):
+            without = np.log((np.maximum(df[lang] - 1, 0) + 0.1) / max(n[lang] - 1, 1))
+            without = np.maximum(without, np.delete(shares, lang, 0).max(0, initial=-np.inf))
+            seen: list[list[float]] = [[] for _ in self.floors]
+            for head in (heads[k] for k in np.flatnonzero(labels == lang).tolist()):
+                for size in (int(1.3 * 2**k) for k in range(SHORTEST, LONGEST + 1)):
+                    for lo in np.unique(np.linspace(0, len(head) - size, 4).astype(int)) if len(head) >= size else ():
+                        piece = head[lo : lo + size]
+                        mean, k = self.measure(piece, without)
+                        if k >= SHORTEST:
+                            seen[k].append(mean)
+            own = -np.inf
+            for k, values in enumerate(seen):
+                if values and n[lang] > 1:
+                    low, middle = np.percentile(values, [1, 50])
+                    own = middle - SLACK * (middle - low)
+                self.floors[k] = min(self.floors[k], own)
+        self.floors = np.minimum.accumulate(self.floors[::-1])[::-1]  # a longer text spreads no wider
+        self.floors[:SHORTEST] = -np.inf
+
+    @staticmethod
+    def measure(points: np.ndarray, weights: np.ndarray) -> tuple[float, int]:
+        """Mean weight of all n-grams that start with a letter, and the class of length."""
+        total, n, seen = 0.0, 0, np.zeros(BUCKETS)
+        for lo in range(0, len(points), GROUP_CHARS):
+            size = min(GROUP_CHARS, len(points) - lo)
+            for order, at in _places(points[lo : lo + size + ORDERS[-1] - 1]):
+                at = at[:size]
+                at = at[points[lo : lo + len(at)] != 0]
+                total, n = total + float(weights[at].sum(dtype=np.float64)), n + len(at)
+                if order == ORDERS[-1]:
+                    seen += np.bincount(at, minlength=BUCKETS)
+        different = seen.sum() ** 2 / max(1.0, (seen * seen).sum())
+        return total / max(n, 1), min(int(different + 1e-9).bit_length() - 1, LONGEST)
+
+    def foreign(self, points: np.ndarray) -> bool:
+        mean, k = self.measure(points, self.weights)
+        return k >= SHORTEST and mean < self.floors[k]
+
+
 class Model:
     """Landmarks and coefficients."""
 
+    familiar: Familiar | None = None
+
     def __init__(self, languages: list[str], rows: np.ndarray, labels: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE):
         """rows: presence of the training texts, dealt so that any first rows hold all languages; labels: their languages' numbers."""
         unit = rows / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
@@ -117,25 +184,31 @@ class Model:
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        packed = []
+        packed, heads = [], []
         for text in batch.column("text"):
             points = letters(text.as_py())
+            heads.append(text.as_py()[:HEAD])
             packed.append(np.packbits(presence([points])[0].astype(bool)).tobytes() if points.any() else None)
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("n"), pa.array(packed, pa.binary())], names=["lang", "n", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("n"), pa.array(packed, pa.binary()), pa.array(heads, pa.string())], names=["lang", "n", "bits", "head"])
 
 
-def train(rows: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
-    """rows: id, text, lang, all of them labelled."""
+def train(rows: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, reject: bool = False) -> Model | None:
+    """rows: id, text, lang, all of them labelled. reject: whether the model is to tell foreign texts."""
     python_ready(rows.sparkSession)
     usable = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     order = W.partitionBy("lang").orderBy(hash60(F.col("id")), F.col("id"), F.md5("text"))
     sample = usable.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "n", "text")
-    found = sorted((r for r in sample.mapInArrow(_bits, "lang string, n int, bits binary").collect() if r["bits"]), key=lambda r: (r["n"], r["lang"]))
+    sample = sample.mapInArrow(_bits, "lang string, n int, bits binary, head string")
+    found = sorted((r for r in (sample if reject else sample.drop("head")).collect() if r["bits"]), key=lambda r: (r["n"], r["lang"]))
     if not found:
         return None
     languages = sorted({r["lang"] for r in found})
     bits = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in found), np.uint8).reshape(len(found), -1), axis=1).astype(np.float32)
-    return Model(languages, bits, np.array([languages.index(r["lang"]) for r in found]), max(landmarks, 8 * len(languages)))
+    labels = np.array([languages.index(r["lang"]) for r in found])
+    model = Model(languages, bits, labels, max(landmarks, 8 * len(languages)))
+    if reject:
+        model.familiar = Familiar(bits, labels, len(languages), [letters(r["head"]) for r in found])
+    return model
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -160,6 +233,9 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep_t
                 best = values.argmax(1)
                 langs[at] = np.array(own.languages, object)[best]
                 scores[at] = np.clip((values[np.arange(len(best)), best] + 1) / 2, 0, 1)
+                if own.familiar is not None:
+                    foreign = [k for k, points in zip(at, texts) if own.familiar.foreign(points)]
+                    langs[foreign], scores[foreign] = UNKNOWN, 0
                 at.clear(), texts.clear()
 
             for k, text in enumerate(batch.column(text_col) if own is not None else ()):

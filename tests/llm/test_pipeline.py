@@ -1,5 +1,8 @@
 """The pipeline's stages against what they promise, on a small table."""
 
+import base64
+import random
+
 import corpus_pipeline
 from terraframe.llm import language, sharding
 
@@ -26,3 +29,27 @@ def test_stages(spark, tmp_path):
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and "doc_id" in out.columns
+
+
+def test_foreign_texts_go_and_clean_short_ones_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(3)
+    foreign = [
+        "в начале было слово и слово было у бога и слово было бог все через него начало быть",
+        "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem",
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+        "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(60)),
+        base64.b64encode(rng.randbytes(3000)).decode(),
+        *(" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(n)) for n in (8, 20, 500)),
+    ]
+    clean = [r["text"] for r in docs.where(language.held_out()).orderBy("doc_id").limit(60).collect()]
+    short = [" ".join(t.split()[:n]) for t in clean for n in (1, 2, 5, 20)]
+    long = " ".join(r["text"] for r in docs.where("lang = 'en'").orderBy("doc_id").limit(300).collect())
+    repeated = [f"{w} " * 500 for w in ("The", "Für", "Queelle", "Osas", "Ofanheanly")]
+    rows = [(10**6 + k, t, None, "s", len(t)) for k, t in enumerate([*foreign, *clean, *short, long, *repeated])]
+    planted = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.identify(spark, planted, "").select("doc_id").collect()}
+    assert not [t[:40] for k, t in enumerate(foreign) if 10**6 + k in kept]
+    gone = [t for i, t, *_ in rows[len(foreign) :] if i not in kept and language.letters(t).any()]
+    assert not gone
+    assert docs.count() == len([i for i in kept if i < 10**6])
