@@ -8,7 +8,8 @@ falling (L) suffixes, and one descending pass that of all rising (S) ones.
 The queues are monotone and work in bulk. A queue holds (key, position) tuples in ranges of keys; ranges beyond
 the memory budget are on disk, and only the range that is being taken out is sorted in memory. Of its
 front, the longest run is taken at once whose induced tuples all come after it: equal keys keep their order
-of insertion, as the induction needs. Texts, types and results beyond the budget are memory-mapped files.
+of insertion, as the induction needs. Texts, types and results beyond the budget are memory-mapped files;
+the positions of S* suffixes, their names and ranks, and the orders that ``_sort`` joins are arrays in memory.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ Neighbours in that order with a common prefix of at least ``LENGTH`` are equal w
 of each run of them stays.
 
 Hot strings: copies within a batch of documents never leave it, so a passage that a third of all documents
-share is at most one row per batch and anchor. Shards may exceed memory: everything that grows with one is
-mapped from files in the task's own folder, which is removed with the task.
+share is at most one row per batch and anchor. Shards may not exceed memory: queues, texts and types are on
+disk beyond a budget, in the task's own folder, which is removed with the task, but a shard's blocks, and the
+positions, ranks, names and runs of its suffixes, are whole arrays. Blocks of one anchor are never split.
 
 Defined results
     * A null text is empty. Texts shorter than ``LENGTH`` bytes lose nothing.
