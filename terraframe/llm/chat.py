@@ -10,11 +10,13 @@ Control strings inside texts and roles are escaped by one more backslash after t
 every text comes back as it was. In roles, backslashes and line feeds are escaped before that.
 
 Turns are dealt by conversation and sorted, and blocks of them stream through; a conversation longer than a
-block comes out in numbered parts, so memory is bounded whatever a conversation's length.
+block comes out in numbered parts, so memory is bounded by a block and the longest turn, whatever a
+conversation's length.
 
 Defined results
     * Null texts and roles are empty. Turns are ordered by turn (null last), then role, then text; repeated
       rows stay. A null conversation id is a conversation of its own. Extra columns are not read.
+    * A turn of any length is whole; the conversation after one longer than a block begins with part 0.
     * An empty table gives an empty result.
 """
 
@@ -90,6 +92,7 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_NONE = object()
 
 
 def _block(rows: pa.Table, part: int) -> pa.RecordBatch:
@@ -118,7 +121,18 @@ def _block(rows: pa.Table, part: int) -> pa.RecordBatch:
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pending, size, part = [], 0, 0
+    """Blocks of whole conversations; a conversation that fills a block by itself comes out in parts, which are
+    numbered by comparing its id with the one that came out last."""
+    pending, size, last, part = [], 0, _NONE, 0
+
+    def block(rows: pa.Table) -> pa.RecordBatch:
+        nonlocal last, part
+        first, end = rows.column("conv_id")[0].as_py(), rows.column("conv_id")[-1].as_py()
+        number = part + 1 if last is not _NONE and first == last else 0
+        out = _block(rows, number)
+        last, part = end, number if out.num_rows == 1 else 0
+        return out
+
     for batch in batches:
         at = 0
         while at < batch.num_rows:
@@ -132,22 +146,17 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             rows = pa.Table.from_batches(pending).combine_chunks()
             ids = rows.column("conv_id").to_pylist()
-            last = len(ids)
-            while last > 0 and ids[last - 1] == ids[-1]:
-                last -= 1
-            if last:
-                yield _block(rows.slice(0, last), part)
-                part, pending = 0, rows.slice(last).to_batches()
-                size = rows.slice(last).nbytes
+            open_from = len(ids)
+            while open_from > 0 and ids[open_from - 1] == ids[-1]:
+                open_from -= 1
+            if open_from:  # the last conversation may go on
+                yield block(rows.slice(0, open_from))
+                pending, size = rows.slice(open_from).to_batches(), rows.slice(open_from).nbytes
             else:
-                yield _block(rows, part)
-                part, pending, size = part + 1, [], 0
-                follow = ids[-1]
-                continue
-        if part and not pending and at < batch.num_rows and batch.column("conv_id")[at].as_py() != follow:
-            part = 0
+                yield block(rows)
+                pending, size = [], 0
     if pending:
-        yield _block(pa.Table.from_batches(pending).combine_chunks(), part)
+        yield block(pa.Table.from_batches(pending).combine_chunks())
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -173,7 +182,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
             conv, part = batch.column("conv_id")[k].as_py(), batch.column("part")[k].as_py()
-            if now is None or part == 0:
+            if now is None or part == 0 or conv != now[0]:
                 if now is not None:
                     done.append(now)
                 now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]

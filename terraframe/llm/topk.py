@@ -6,6 +6,8 @@ weighted postings into a dense array with one score per candidate, and what reac
 threshold is kept by partition selection. Results of the blocks are merged within the task, and those of
 the tasks by rank.
 
+Weights travel as doubles, which hold ``floor(scale * x)`` of a double exactly if the scale is a power of two.
+
 Queries are cut into chunks of a bounded number of rows and candidates into slices; each (chunk, slice)
 cell is a task that holds one chunk and streams its slice, so memory does not depend on either table's size,
 and nothing is broadcast. Hashes over id and vector deal out the rows.
@@ -14,7 +16,9 @@ Defined results
     * Vectors that are null, empty, or hold a null, NaN or infinite component take no part on either side.
     * A query never meets rows with its own id. Rows that repeat an id are candidates each by itself.
     * Equal scores: the smaller id first. Vectors of other lengths share the terms they have.
-    * Weights saturate at the limits of a 32-bit integer; sums are 64-bit where 32 bits might not hold them.
+    * Weights and sums are exact at any size: 32 or 64 bits where a block's bound allows it, else integers of any
+      length. A score that reaches the result and does not fit into a long raises an error, as does a component
+      that is finite, but not when scaled.
     * Ids that are null take no part. An empty table gives an empty result.
 """
 
@@ -35,36 +39,61 @@ SCALE = 64
 QUERY_CHUNK = 4096
 BLOCK = 8192
 DENSE_SHARE = 0.5
-LEAST, MOST = -(2**31), 2**31 - 1
+#: Candidates with a larger weight are in blocks of their own, so that others keep short integers.
+LARGE = 1 << 24
 
 
-class _Postings:
-    """Posting lists of one block of candidates."""
+def _integers(rows: np.ndarray, kind: type) -> np.ndarray:
+    return rows.astype(kind) if kind is not object else np.array([int(x) for x in rows.reshape(-1)], object).reshape(rows.shape)
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.n = ids, len(ids)
-        self.most = int(np.abs(rows).max(initial=0))
-        self.lists = []
-        for t in range(rows.shape[1]):
-            column = np.ascontiguousarray(rows[:, t])
-            at = np.flatnonzero(column)
-            # A list with most candidates in it is kept without their numbers; its zeros add nothing.
-            self.lists.append((None, column) if len(at) > DENSE_SHARE * self.n else (at, column[at]))
 
+class _Postings:
+    """Posting lists of one block of candidates, in the shortest integers that hold every score."""
 
-def _search(postings: _Postings, weights: np.ndarray, kind: type, tmp: np.ndarray) -> np.ndarray:
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        self.ids, self.n, self.rows = ids, len(ids), rows
+        self.most = float(np.abs(rows).max(initial=0))
+        self.kinds: dict[type, list] = {}
+
+    def kind(self, weights: np.ndarray) -> type:
+        bound = self.most * float(np.abs(weights).max(initial=0)) * max(1, min(self.rows.shape[1], len(weights)))
+        return np.int32 if bound < 2**31 else np.int64 if bound < 2**62 else object
+
+    def lists(self, kind: type) -> list:
+        if kind not in self.kinds:
+            out = []
+            for t in range(self.rows.shape[1]):
+                column = _integers(np.ascontiguousarray(self.rows[:, t]), kind)
+                at = np.flatnonzero(column)
+                # A list with most candidates in it is kept without their numbers; its zeros add nothing.
+                out.append((None, column) if len(at) > DENSE_SHARE * self.n else (at, column[at]))
+            self.kinds[kind] = out
+        return self.kinds[kind]
+
+
+def _search(postings: _Postings, weights: np.ndarray, tmp: dict[type, np.ndarray]) -> np.ndarray:
     """Dense scores of one query row against the block."""
-    scores = np.zeros(postings.n, dtype=kind)
-    for t in np.flatnonzero(weights[: len(postings.lists)]):
-        at, values = postings.lists[t]
+    kind = postings.kind(weights)
+    lists, scores = postings.lists(kind), np.zeros(postings.n, dtype=kind)
+    if kind not in tmp:
+        tmp[kind] = np.empty(postings.n, dtype=kind)
+    weights = _integers(weights[: len(lists)], kind)
+    for t in np.flatnonzero(weights):
+        at, values = lists[t]
         if at is None:
-            np.multiply(values, weights[t], out=tmp[: postings.n], dtype=kind)
-            scores += tmp[: postings.n]
+            np.multiply(values, weights[t], out=tmp[kind])
+            scores += tmp[kind]
         elif len(at):
-            scores[at] += values.astype(kind) * kind(weights[t])
+            scores[at] += values * weights[t]
     return scores
 
 
+def _long(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object and any(not -(2**63) <= x < 2**63 for x in scores):
+        raise OverflowError("a score does not fit into 64 bits")
+    return scores.astype(np.int64)
+
+
 class _Cell:
     """One chunk of queries with the best k of each so far."""
 
@@ -90,18 +119,18 @@ class _Cell:
             self.best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(self.ids)
         ids, rows = np.concatenate([x for x, _ in self.blocks]), _stack([x for _, x in self.blocks])
         self.blocks, self.waiting = [], 0
-        for lo in range(0, len(ids), BLOCK):
-            self._block(ids[lo : lo + BLOCK], rows[lo : lo + BLOCK])
+        if not np.isfinite(rows).all() or not np.isfinite(self.rows).all():
+            raise OverflowError("a component is beyond the range of doubles when scaled")
+        large = np.abs(rows).max(1, initial=0) >= LARGE
+        for own in (np.flatnonzero(~large), np.flatnonzero(large)):
+            for lo in range(0, len(own), BLOCK):
+                at = own[lo : lo + BLOCK]
+                self._block(ids[at], rows[at])
 
     def _block(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        postings = _Postings(ids, rows)
-        bound = postings.most * int(np.abs(self.rows).max(initial=0)) * rows.shape[1]
-        kind = np.int32 if bound < 2**31 else np.int64
-        tmp = np.empty(len(ids), dtype=kind)
-        if kind is np.int32:
-            postings.lists = [(at, v.astype(np.int32)) for at, v in postings.lists]
+        postings, tmp = _Postings(ids, rows), {}
         for q in range(len(self.ids)):
-            scores = _search(postings, self.rows[q], kind, tmp)
+            scores = _search(postings, self.rows[q], tmp)
             old_scores, old_ids = self.best[q]
             if len(old_ids) == self.k:
                 at = np.flatnonzero(scores >= old_scores[-1])
@@ -113,9 +142,9 @@ class _Cell:
                 at = np.arange(len(scores))
             at = at[ids[at] != self.ids[q]]
             if len(at):
-                s, i = np.concatenate([old_scores, scores[at].astype(np.int64)]), np.concatenate([old_ids, ids[at]])
-                order = np.lexsort((i, -s))[: self.k]
-                self.best[q] = s[order], i[order]
+                s, i = np.concatenate([old_scores, scores[at] if scores.dtype == object else scores[at].astype(np.int64)]), np.concatenate([old_ids, ids[at]])
+                order = np.array(sorted(range(len(s)), key=lambda k: (-s[k], i[k])), np.int64) if s.dtype == object else np.lexsort((i, ~s))
+                self.best[q] = s[order[: self.k]], i[order[: self.k]]
 
     def result(self) -> pa.RecordBatch | None:
         self.flush()
@@ -123,7 +152,7 @@ class _Cell:
             return None
         n = [len(x) for _, x in self.best]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(self.ids, n), pa.int64()), pa.array(np.concatenate([x for _, x in self.best]), pa.int64()), pa.array(np.concatenate([x for x, _ in self.best]), pa.int64())],
+            [pa.array(np.repeat(self.ids, n), pa.int64()), pa.array(np.concatenate([x for _, x in self.best]), pa.int64()), pa.array(np.concatenate([_long(x) for x, _ in self.best]), pa.int64())],
             names=["query_id", "vec_id", "score"],
         )
 
@@ -134,11 +163,11 @@ def _stack(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def _dense(lists: pa.Array) -> np.ndarray:
-    """Rows of integers, padded with zeros."""
+    """Rows of integral doubles, padded with zeros."""
     offsets = lists.offsets.to_numpy()
     values = lists.values.to_numpy(zero_copy_only=False)
     sizes = np.diff(offsets)
-    out = np.zeros((len(sizes), int(sizes.max(initial=0))), dtype=np.int64)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
     out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = values[offsets[0] : offsets[-1]]
     return out
 
@@ -165,10 +194,12 @@ def _run(k: int):
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: float = SCALE) -> DataFrame:
-    """(id, weights): integer rows of the usable vectors."""
+    """(id, weights): integral rows of the usable vectors, as doubles."""
     usable = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    weight = lambda x: F.greatest(F.lit(float(LEAST)), F.least(F.lit(float(MOST)), F.floor(x.cast("double") * scale).cast("double"))).cast("long")
+    scaled = lambda x: x.cast("double") * F.lit(float(scale))
+    # From 2^53 on every double is integral; floor gives a long.
+    weight = lambda x: F.when(F.abs(scaled(x)) < float(1 << 53), F.floor(scaled(x)).cast("double")).otherwise(scaled(x))
     return vectors.where(usable & ~F.exists(vector_col, bad)).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, weight).alias("weights"))
 
 
@@ -197,11 +228,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS w FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::HUGEINT) AS w FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= {K}
+SELECT query_id, rank::INT AS rank, vec_id, score::BIGINT AS score FROM r WHERE rank <= {K}
 """
