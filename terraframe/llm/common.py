@@ -28,9 +28,11 @@ def python_ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset, one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset, and everything runs on this machine, one of our own."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + os.path.join(tempfile.gettempdir(), "terraframe-shared")
         spark.sparkContext.setCheckpointDir(known)
     return known
@@ -39,11 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: later jobs, and retries after a lost
     executor, start from that table instead of from the lineage above it. Results read these tables lazily, so
-    they stay there until whoever owns the folder empties it."""
+    those a result still reads stay there until whoever owns the folder empties it; ``release`` frees the others."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/terraframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialized_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more: all that was made of them is materialized, collected or counted."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.materialized_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hash60(*cols: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 #: A round's table has about as many rows a file, or a file for every core if that is more files.
 ROWS_PER_FILE = 250_000
@@ -35,6 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         files = max(edges.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE))
         new = materialize(_small(_large(now)).coalesce(files))
         seen = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        release(now)
         if tuple(seen) == state:
             return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
         now, rows, state = new, seen[0], tuple(seen)

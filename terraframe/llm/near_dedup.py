@@ -12,8 +12,10 @@ every text to 1.5 for one in at most a share theta of them. It is kept within th
 raise the frequency of their own shingles: without them, texts of a large group of near copies would be
 judged by the few shingles that they do not share. Only shingles in more than theta of all texts need to be
 known by number; at most (mean shingles a text) / theta exist, so the table that goes to all tasks is bounded.
-They are found exactly: a shingle that frequent is that frequent in at least one block of texts, so blocks
-propose and a second pass counts the proposed over all texts.
+They are found exactly, in two passes: tasks of about ``TASK_DOCS`` texts or more keep Misra-Gries summaries, whose
+undercounts are known and together below theta; sums of these leave the shingles that may be that frequent, and
+one pass counts them. Where undercounts or candidates pass their bounds, which takes texts of very many
+different shingles, all shingles are counted by an aggregation instead, with the same result.
 
 Draws come from a table of 2^16 parameter triples indexed by a hash of shingle and function; a draw is known
 by its value and by 32 more bits of that hash.
@@ -21,15 +23,20 @@ by its value and by 32 more bits of that hash.
 Large groups: texts equal in their words are one node from the start. Within a bucket, agreement is compared
 for all members, but what is emitted is, for more than ``SMALL`` members, a maximum spanning forest and the
 nearest neighbours of each. After the first components, buckets that still hold several of them compute the
-exact similarities of all their members, one to all others at a time, and emit what joins components, so no link
-between components is lost. Buckets of more than ``2 * BLOCK`` members are cut into blocks, and pairs of blocks
-are tasks of their own.
+exact similarities of their members outside the largest component, one to all others at a time, and emit what joins
+components, until there is one; so no link between components is lost.
+A bucket of more than ``HOT`` members is cut into blocks of about ``BLOCK``. First each block meets only the
+bucket's ``GUESTS`` representatives (those with the least keys), through which groups are joined across blocks; what
+is left outside the bucket's largest component then meets every block, each pair a task of its own. So the work
+grows with members plus (members left over) x members, not with the square of a group of near copies.
 
 Defined results
     * A null text is in no class but its own, with a null class id if its id is null; texts without words are
       a class with those of exactly the same text.
     * The class id is the smallest id in the class. Repeated rows are one class. Null ids never become class
       ids unless a class has no other. Extra columns are not read. An empty table gives an empty result.
+    * Texts of any length are read whole; a task holds the shingles of 16 texts at a time.
+    * ``deduplicated`` keeps, of rows that repeat both id and text, the one with the least hash of all its columns.
 """
 
 from __future__ import annotations
@@ -43,9 +50,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, python_ready, table
+from .common import materialize, python_ready, release, table
 from .components import components
-from .decontaminate import FOLD
+from .decontaminate import FOLD, SQL_WORDS
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -54,9 +61,11 @@ DRAWS = BANDS * ROWS
 #: Draws in which candidates agree at least; a pair at the threshold misses this about 4 times in 100,000.
 AGREE = 23
 THETA = 0.01
-SMALL, NEAREST, BLOCK = 8, 3, 2048
-SLICE = 1 << 20
-PROPOSE_SHINGLES = 1 << 20
+SMALL, NEAREST = 8, 3
+HOT, BLOCK, GUESTS = 1024, 512, 64
+#: Texts a task sees at least, on average, when it summarises; counters of a summary; shingles that are counted in one pass.
+TASK_DOCS, COUNTERS, CANDIDATES = 1000, 1 << 21, 1 << 20
+GATHER = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -162,33 +171,70 @@ class Sampler:
         return out
 
 
-def _propose(theta: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs, size = [], 0, 0
+class Summary:
+    """Misra-Gries counters of shingles: every true count is at least the counter's and at most ``lost`` more."""
 
-        def flush():
-            values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0))
-            found = values[counts >= theta * docs]
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.zeros(len(found), np.int64))], names=["shingle", "docs"])
+    def __init__(self, theta: float, most: int | None = None):
+        self.theta, self.most = theta, most or COUNTERS
+        self.values, self.counts, self.lost = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+        self.docs = self.seen = self.size = 0
+        self.held: list[np.ndarray] = []
 
-        total = 0
+    def add(self, own: np.ndarray) -> None:
+        self.docs += 1
+        self.seen += len(own)
+        if len(own):
+            self.held.append(own)
+            self.size += len(own)
+        if self.size >= GATHER:
+            self.fold()
+
+    def _drop(self, least: int) -> None:
+        """Forget counters of at most ``least``; the others count that much less, which is in what is lost."""
+        keep = self.counts > least
+        self.values, self.counts = self.values[keep], self.counts[keep] - least
+        self.lost += least
+
+    def fold(self) -> None:
+        values, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *self.held]), return_counts=True)
+        self.held, self.size = [], 0
+        both, at = np.unique(np.concatenate([self.values, values]), return_inverse=True)
+        self.counts = np.bincount(at, np.concatenate([self.counts, counts]), len(both)).astype(np.int64)
+        self.values = both
+        # So many that a full summary loses at most a quarter of theta of its texts, if memory allows.
+        room = min(self.most, max(1 << 12, math.ceil(4 * self.seen / max(1, self.docs) / self.theta)))
+        if len(both) > room:
+            self._drop(int(np.partition(self.counts, -room - 1)[-room - 1]))
+
+    def finish(self) -> None:
+        self.fold()
+        if (least := int(0.45 * self.theta * self.docs)) > 0:
+            self._drop(least)
+
+
+def _summarise(theta: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Summary(theta)
         for batch in batches:
             for text in batch.column("text"):
-                own, _ = shingles(text.as_py())
-                total += 1
-                docs += 1
-                if len(own):
-                    held.append(own)
-                    size += len(own)
-                if size >= PROPOSE_SHINGLES:
-                    yield flush()
-                    held, docs, size = [], 0, 0
-        yield flush()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["shingle", "docs"])
+                own.add(shingles(text.as_py())[0])
+        own.finish()
+        for lo in range(0, len(own.values), 1 << 16):
+            values, counts = own.values[lo : lo + (1 << 16)], own.counts[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts), pa.array(np.zeros(len(values), np.int64))], names=["shingle", "docs", "lost"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([own.docs]), pa.array([own.lost])], names=["shingle", "docs", "lost"])
 
     return run
 
 
+def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column("text"):
+            own, _ = shingles(text.as_py())
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["shingle"])
+
+
 def _count(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -205,26 +251,32 @@ def _count(shared):
     return run
 
 
+def _sorted_hashes(rows) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+
+
 def document_frequencies(texts: DataFrame, theta: float = THETA) -> Weights:
     """texts: (text). Exact document frequencies of the shingles in more than theta of all texts."""
     spark = texts.sparkSession
-    proposed = materialize(texts.mapInArrow(_propose(theta), "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs")))
-    n_docs = proposed.where("shingle IS NULL").agg(F.sum("docs")).first()[0] or 0
-    proposed = proposed.where("shingle IS NOT NULL").select("shingle")
-    n = proposed.count()
-    slices = -(-n // SLICE)
-    hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for k in range(slices):  # what goes to all tasks at once is at most about a slice
-        part = proposed.where(F.pmod(F.xxhash64("shingle"), F.lit(slices)) == k)
-        known = np.sort(np.array([r[0] for r in part.collect()], np.int64).view(np.uint64))
-        if not len(known):
-            continue
-        shared = spark.sparkContext.broadcast(known)
-        rows = texts.mapInArrow(_count(shared), "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs")).where(F.col("docs") > theta * n_docs).collect()
-        shared.unpersist()
-        hashes.append(np.array([r[0] for r in rows], np.int64).view(np.uint64))
-        counts.append(np.array([r[1] for r in rows], np.int64))
-    return Weights(n_docs, np.concatenate(hashes), np.concatenate(counts), theta)
+    total = texts.count()
+    wide = texts.coalesce(max(1, total // TASK_DOCS))
+    summed = materialize(wide.mapInArrow(_summarise(theta), "shingle long, docs long, lost long").groupBy("shingle").agg(F.sum("docs").alias("docs"), F.sum("lost").alias("lost")))
+    n_docs, lost = summed.where("shingle IS NULL").agg(F.sum("docs"), F.sum("lost")).first()
+    n_docs = n_docs or 0
+    maybe = summed.where(F.col("shingle").isNotNull() & (F.col("docs") > theta * n_docs - (lost or 0))).select("shingle")
+    if n_docs and (lost >= theta * n_docs or maybe.count() > CANDIDATES):
+        counted = texts.mapInArrow(_all_shingles, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"))
+        hashes, counts = _sorted_hashes(counted.where(F.col("docs") > theta * n_docs).collect())
+    else:
+        known = np.sort(np.array([r[0] for r in maybe.collect()], np.int64).view(np.uint64))
+        hashes, counts = known, np.empty(0, np.int64)
+        if len(known):
+            shared = spark.sparkContext.broadcast(known)
+            rows = texts.mapInArrow(_count(shared), "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs"))
+            hashes, counts = _sorted_hashes(rows.where(F.col("docs") > theta * n_docs).collect())
+            shared.unpersist()
+    release(summed)
+    return Weights(n_docs, hashes, counts, theta)
 
 
 def _sign(shared):
@@ -310,9 +362,16 @@ def _pairs(keys: list[str], draws: np.ndarray) -> list[tuple[str, str]]:
     return out
 
 
-def _links(keys: list[str], roots: list[str], blobs: list[bytes], threshold: float) -> list[tuple[str, str]]:
+def _links(keys: list[str], roots: list[str], blobs: list[bytes], threshold: float, asks: list[bool] | None = None) -> list[tuple[str, str]]:
     """Links between the components of one bucket, enough to join all that have any: exact similarities of one
-    member to all others at a time, from posting lists of the bucket's shingles."""
+    member to all others at a time, from posting lists of the bucket's shingles. ``asks`` are the members to ask
+    for; without it, all outside the largest component."""
+    names, label = np.unique(np.array(roots), return_inverse=True)
+    sizes_of = np.bincount(label)
+    ask = label != int(sizes_of.argmax()) if asks is None else np.array(asks, bool)
+    forest, out, left = _Forest(len(names)), [], len(names)
+    if left < 2 or not ask.any():
+        return out
     sets = [_parse(x) for x in blobs]
     sizes = np.array([len(h) for h, _ in sets])
     member = np.repeat(np.arange(len(sets)), sizes)
@@ -323,10 +382,9 @@ def _links(keys: list[str], roots: list[str], blobs: list[bytes], threshold: flo
     stops = np.append(starts[1:], len(order))
     at = np.searchsorted(values, hashes)
     member_of, weight_of = member[order], weights[order]
-    names, label = np.unique(np.array(roots), return_inverse=True)
-    forest, out = _Forest(len(names)), []
     first = np.concatenate(([0], np.cumsum(sizes)))
-    for i in range(len(sets)):
+    asking = np.flatnonzero(ask)
+    for i in asking[np.argsort(sizes_of[label[asking]], kind="stable")].tolist():
         own = slice(first[i], first[i + 1])
         lo, n = starts[at[own]], (stops - starts)[at[own]]
         entries = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
@@ -337,6 +395,9 @@ def _links(keys: list[str], roots: list[str], blobs: list[bytes], threshold: flo
             if x != y:
                 forest.up[x] = y
                 out.append((keys[i], keys[j]))
+                left -= 1
+        if left == 1:
+            break
     return out
 
 
@@ -417,13 +478,36 @@ def _verify(threshold: float):
     return run
 
 
+def _block_of(n: str = "n"):
+    return F.pmod(F.xxhash64("k"), F.ceil(F.col(n) / BLOCK)).cast("int")
+
+
 def _blocks(buckets: DataFrame) -> DataFrame:
-    """Buckets of more than ``BLOCK`` members as one bucket for each pair of their blocks. buckets: bucket, k, n."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = buckets.where(F.col("n") > 2 * BLOCK).withColumn("nb", blocks).withColumn("i", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
-    large = large.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    cell = F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j"))
-    return buckets.where(F.col("n") <= 2 * BLOCK).select("bucket", "k").unionByName(large.select(cell.alias("bucket"), "k"))
+    """Hot buckets as one bucket for each block with the representatives. buckets: bucket, k, n, block."""
+    hot = buckets.where(F.col("n") > HOT)
+    # The least key of each of so many slots: partial minima, so that no task sees a whole hot bucket.
+    guests = hot.groupBy("bucket", "n", F.pmod(F.xxhash64("k", F.lit(1)), F.lit(GUESTS)).alias("slot")).agg(F.min("k").alias("k"))
+    guests = guests.select("bucket", "k", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / BLOCK) - 1).cast("int"))).alias("block"))
+    cells = hot.select("bucket", "k", "block").unionByName(guests).select(F.xxhash64("bucket", "block").alias("bucket"), "k").distinct()
+    return buckets.where(F.col("n") <= HOT).select("bucket", "k").unionByName(cells)
+
+
+def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Buckets that hold several components: bucket, k, root, ask. Hot ones are cut into pairs of blocks: members left
+    outside the largest component of one block, which ask, and all members of the other. members: bucket, k, n, block."""
+    rooted = members.where(F.col("n") > SMALL).join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
+    split = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("components"), F.max_by("root", F.struct("size", "root")).alias("largest")).where("components > 1")
+    open_ones = materialize(rooted.join(split.select("bucket", "largest"), "bucket"))
+    small = open_ones.where(F.col("n") <= HOT).select("bucket", "k", "root", F.lit(None).cast("boolean").alias("ask"))
+    hot = open_ones.where(F.col("n") > HOT).withColumn("ask", F.col("root") != F.col("largest"))
+    asking = hot.where("ask")
+    of = asking.select("bucket", F.col("block").alias("i")).distinct()
+    answers = hot.join(of, "bucket").select("bucket", "i", F.col("block").alias("j"), "k", "root", (F.col("ask") & (F.col("i") == F.col("block"))).alias("ask"))
+    others = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / BLOCK) - 1).cast("int")))
+    askers = asking.select("bucket", F.col("block").alias("i"), others.alias("j"), "k", "root", "ask").where("i <> j")
+    pairs = answers.unionByName(askers).select(F.xxhash64("bucket", "i", "j").alias("bucket"), "k", "root", "ask")
+    return small.unionByName(pairs)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -444,8 +528,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, thet
 
     narrow = materialize(texts.where("draws IS NOT NULL").select("k", "draws").mapInArrow(_band, "bucket long, k string"))
     shared_keys = narrow.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = _blocks(narrow.join(shared_keys, "bucket"))
-    buckets = materialize(buckets.join(texts.select("k", "draws"), "k"))
+    members = materialize(narrow.join(shared_keys, "bucket").withColumn("block", F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / BLOCK)).cast("int")))
+    release(narrow)
 
     def blobs(needed: DataFrame) -> DataFrame:
         """(k, blob): the weighted shingles of some nodes."""
@@ -453,22 +537,26 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, thet
         owned = rows.join(owners, F.col("id").eqNullSafe(F.col("owner_id")) & (F.col("t") == F.col("owner_t"))).select("k", "text")
         return materialize(owned.mapInArrow(_blob(weights), "k string, blob binary").groupBy("k").agg(F.first("blob").alias("blob")))
 
-    def dealt(members: DataFrame) -> DataFrame:
-        return members.repartition("bucket").sortWithinPartitions("bucket", "k")
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket").sortWithinPartitions("bucket", "k")
 
-    pairs = materialize(dealt(buckets).mapInArrow(_by_bucket(("k", "draws"), _candidates), "u string, v string").distinct())
+    with_draws = _blocks(members).join(texts.select("k", "draws"), "k")
+    pairs = materialize(dealt(with_draws).mapInArrow(_by_bucket(("k", "draws"), _candidates), "u string, v string").distinct())
     sets = blobs(pairs.select(F.col("u").alias("k")).unionByName(pairs.select(F.col("v").alias("k"))))
     left, right = (sets.withColumnsRenamed({"k": k, "blob": x}) for k, x in (("u", "a"), ("v", "b")))
     roots = components(pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(_verify(threshold), "u string, v string"))
+    release(pairs, sets)
 
-    rooted = buckets.select("bucket", "k").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    split = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    rest = materialize(rooted.join(split.where(f"n > {SMALL} AND lo <> hi").select("bucket"), "bucket", "left_semi"))
+    rest = materialize(_unsettled(members, roots))
+    release(members)
     if not rest.isEmpty():
-        resolve = lambda keys, of, held: _links(keys, of, held, threshold)
-        more = materialize(dealt(rest.join(blobs(rest), "k")).mapInArrow(_by_bucket(("k", "root", "blob"), resolve), "u string, v string").distinct())
+        resolve = lambda keys, of, held, ask: _links(keys, of, held, threshold, None if ask[0] is None else ask)
+        own = blobs(rest)
+        more = materialize(dealt(rest.join(own, "k")).mapInArrow(_by_bucket(("k", "root", "blob", "ask"), resolve), "u string, v string").distinct())
+        release(own)
         if not more.isEmpty():
             roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))  # roots join what the links do
+    release(rest)
     node = texts.select("k", "least", "owner").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     each = node.groupBy("root").agg(F.min("least").alias("class_id"), F.min("owner").alias("keeper"))
     classes = node.select("k", "root").join(each, "root").select("k", "class_id", "keeper")
@@ -490,9 +578,30 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = docs.where(F.col(text_col).isNotNull()).select(F.struct(*columns).alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_t"))
     out = own.join(kept, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_t") == F.col("t")))
     if not kept.where("n > 1").isEmpty():  # rows that repeat both id and text
-        out = out.dropDuplicates(["row_id", "row_t"])
+        out = out.groupBy("row_id", "row_t").agg(F.min_by("row", F.struct(F.xxhash64(F.to_json("row")), F.to_json("row"))).alias("row"))
     return out.select("row.*").unionByName(docs.where(F.col(text_col).isNull()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: All pairs of texts that share a shingle, exactly; for small tables.
+SQL = rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, w, CASE WHEN text IS NULL THEN NULL WHEN len(w) = 0 THEN 'x' || text ELSE 'w' || array_to_string(w, ' ') END AS words
+  FROM (SELECT doc_id, text, {SQL_WORDS} AS w FROM documents)),
+node AS (SELECT row_number() OVER (ORDER BY min(doc_id)) AS k, words, any_value(w) AS w, min(doc_id) AS least, count(*) AS copies FROM t WHERE words IS NOT NULL GROUP BY words),
+sh AS (SELECT k, copies, s, count(*) AS c
+       FROM (SELECT k, copies, array_to_string(w[i:i + least({SHINGLE}, len(w)) - 1], ' ') AS s FROM node, range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1) r(i) WHERE len(w) > 0)
+       GROUP BY ALL),
+idf AS (SELECT s, 1 + ln(n / greatest(sum(copies), {THETA} * n)) / (2 * ln(1 / {THETA})) AS idf FROM sh, (SELECT count(*) AS n FROM documents) GROUP BY s, n),
+weighed AS (SELECT k, s, c * idf AS x FROM sh JOIN idf USING (s)),
+total AS (SELECT k, sum(x) AS x FROM weighed GROUP BY k),
+shared AS (SELECT a.k AS u, b.k AS v, sum(least(a.x, b.x)) AS least FROM weighed a JOIN weighed b ON a.s = b.s AND a.k < b.k GROUP BY ALL),
+link AS (SELECT u, v FROM shared JOIN total a ON a.k = u JOIN total b ON b.k = v WHERE least >= {SIMILARITY} * (a.x + b.x - least)),
+edge AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach AS (SELECT k, k AS r FROM node UNION SELECT edge.v, r FROM reach JOIN edge ON edge.u = reach.k),
+class AS (SELECT reach.k, min(other.least) AS class_id FROM reach JOIN node other ON other.k = r GROUP BY ALL)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id FROM t LEFT JOIN node USING (words) LEFT JOIN class USING (k)
+"""
