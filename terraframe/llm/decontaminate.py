@@ -9,18 +9,23 @@ A word outside the items' vocabulary resets the automaton to its root, so only r
 as long as the shortest window are streamed; nothing else can hold a window.
 
 The automaton is broadcast. Its size is checked first: items are dealt into parts of at most ``PART_BYTES``
-of text, and with several parts the documents pass through one part's automaton after another, each pass
-written to the shared folder.
+of text. With several parts a first pass keeps aside the documents with a window that may be one of the items':
+hashes of all items' windows are marked in a bitmap (``BITS`` bits a window, at most ``MOST_BITS``, which is
+broadcast). Only these documents pass through one part's automaton after another, each pass written to the shared
+folder; the others are not written anywhere. The bitmap errs on the safe side only: without a mark there is no window.
 
 Defined results
     * A null or empty text has no words: nothing is hit, coverage is 0, the text stays as it is.
-    * Items with null, empty or word-free text have no window. A null item id counts as the id ``null``.
+    * Items with null, empty or word-free text have no window. A null item id counts as the id ``null``, and so as
+      the same item as one of that name.
+    * Texts of any length are scanned whole, one at a time.
     * Rows repeating an item id count as one item; documents that repeat an id are judged each by itself.
     * Without items no word is hit. Columns of the input pass through; names the operator adds win.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -30,11 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash60, materialize, python_ready, table
+from .common import hash60, materialize, python_ready, release, table
 
 WINDOW = 10
 MAX_COVERAGE = 0.5
 PART_BYTES = 2 << 20
+BITS, MOST_BITS, PROBES = 64, 1 << 29, 6
 #: Bytes that are not part of a word become blanks, A-Z become a-z; every byte of a character outside ASCII is part of a word.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -208,16 +214,75 @@ def _step(automaton, text_col: str, kept: list[str], max_coverage: float | None
     return run
 
 
+def _parts(items: DataFrame, text_col: str) -> int:
+    size = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return -(-size // PART_BYTES) or 1
+
+
 def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> Iterator[Automaton]:
     """One automaton per part of the items; never more than ``PART_BYTES`` of text, or one item, at a time."""
     texts = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.col(text_col).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-size // PART_BYTES) or 1
+    parts = _parts(texts, "text")
     for k in range(parts):
         part = texts.where(F.pmod(hash60(F.col("id"), F.col("text")), F.lit(parts)) == k) if parts > 1 else texts
         yield Automaton([(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()], window)
 
 
+def _window_hashes(words: list[bytes], sizes: list[int]) -> np.ndarray:
+    """64-bit hashes of all runs of so many words."""
+    own = np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words), np.uint64, len(words))
+    out = []
+    for n in sizes:
+        if len(own) >= n:
+            h = np.zeros(len(own) - n + 1, np.uint64)
+            for k in range(n):
+                h = (h ^ own[k : len(own) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            out.append(h)
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _places(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    step = (hashes >> np.uint64(33)) | np.uint64(1)
+    for k in range(PROBES):
+        yield ((hashes + np.uint64(k) * step) % np.uint64(bits)).astype(np.int64)
+
+
+class Marks:
+    """A bitmap of the items' windows."""
+
+    def __init__(self, windows: int, window: int):
+        self.window, self.sizes = window, set()
+        self.bits = min(MOST_BITS, max(1 << 10, BITS * windows))
+        self.map = np.zeros(-(-self.bits // 8), np.uint8)
+
+    def add(self, words: list[bytes]) -> None:
+        if words:
+            n = min(self.window, len(words))
+            self.sizes.add(n)
+            for at in _places(_window_hashes(words, [n]), self.bits):
+                np.bitwise_or.at(self.map, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def meets(self, words: list[bytes]) -> bool:
+        for n in sorted(self.sizes):
+            left = _window_hashes(words, [n])
+            marked = np.ones(len(left), bool)
+            for at in _places(left, self.bits):
+                marked &= (self.map[at >> 3] >> (at & 7)) & 1 > 0
+            if marked.any():
+                return True
+        return False
+
+
+def _marked(shared, text_col: str, wanted: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([marks.meets(words_of(t.as_py())) == wanted for t in batch.column(text_col)], pa.bool_()))
+
+    return run
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", keep_text: bool = True, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float | None = None) -> DataFrame:
     """The documents with n_words, hit_spans (word numbers, end exclusive) and items (ids as sorted strings).
     With ``max_coverage`` instead the documents within it, without their hit spans."""
@@ -225,12 +290,21 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     python_ready(spark)
     added = ADDED.fieldNames()
     first = docs.select([c for c in (f"`{c}`" for c in docs.columns) if c.strip("`") not in added])
-    out, previous = first, None
+    if _parts(items, item_text) == 1:
+        return _apply(spark, first, next(automata(items, item_id, item_text, window)), text_col, keep_text, max_coverage)
+    marks = Marks(items.agg(F.sum(F.octet_length(item_text))).first()[0] // 2, window)
+    for row in items.select(item_text).toLocalIterator():
+        marks.add(words_of(row[0]))
+    shared = spark.sparkContext.broadcast(marks)
+    split = lambda wanted: first.mapInArrow(_marked(shared, text_col, wanted), first.schema)
+    clean = _apply(spark, split(False), Automaton([], window), text_col, keep_text, max_coverage)
+    out, previous = materialize(split(True)), None
     for automaton in automata(items, item_id, item_text, window):
         if previous is not None:
-            out = materialize(_apply(spark, out, previous, text_col, True))
+            before, out = out, materialize(_apply(spark, out, previous, text_col, True))
+            release(before)
         previous = automaton
-    return _apply(spark, out, previous, text_col, keep_text, max_coverage)
+    return clean.unionByName(_apply(spark, out, previous, text_col, keep_text, max_coverage))
 
 
 def _apply(spark: SparkSession, df: DataFrame, automaton: Automaton, text_col: str, keep_text: bool, max_coverage: float | None = None) -> DataFrame:
@@ -260,12 +334,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Words of a text, in SQL.
+SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL = rf"""
 WITH i AS (SELECT item_id::VARCHAR AS item_id, w, least(len(w), {WINDOW}) AS n
-           FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+           FROM (SELECT item_id, {SQL_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM i, range(1, len(w) - n + 2) t(k)),
-d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, {SQL_WORDS} AS w FROM documents),
 found AS (
   SELECT r, k, n, item_id
   FROM (SELECT r, k, x.n AS n, array_to_string(w[k:k + x.n - 1], ' ') AS s

@@ -18,8 +18,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_weighted_minhash": near_dedup.SQL,
     "op2_exact_top_k": topk.SQL,
     "op3_suffix_automaton": decontaminate.SQL,
+    "op5_induced_sorting": substrings.SQL,
     "op6_curriculum_mix": mixing.SQL,
     "op8_chat_assembly": chat.SQL,
     "op9_extendible_shards": sharding.SQL,

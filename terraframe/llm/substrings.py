@@ -290,3 +290,18 @@ def brute_force(rows: list[tuple[int, str | None]], length: int = LENGTH) -> lis
         kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
         out.append((doc, len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+#: Every window by its MD5; for small tables.
+SQL = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, p, md5(b[p + 1:p + {LENGTH}]) AS h FROM d, range(0, octet_length(b) - {LENGTH - 1}) t(p)),
+late AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1),
+run AS (SELECT *, sum(CASE WHEN p <= before + {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+        FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM late)),
+span AS (SELECT doc_id, min(p) AS lo, max(p) + {LENGTH} AS hi FROM run GROUP BY doc_id, run),
+cut AS (SELECT doc_id, lo, hi FROM span UNION ALL SELECT doc_id, octet_length(b), octet_length(b) FROM d),
+piece AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi), 0) AS since FROM cut),
+kept AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) - 1 AS n_spans, string_agg(hex(b[since + 1:lo]), '' ORDER BY lo, hi) AS kept FROM piece JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN kept USING (doc_id)
+"""
