@@ -7,7 +7,8 @@ to ``BUCKETS`` places. Landmarks drawn from the training rows give the Nyström
 matrix products per batch of documents: presence times landmarks, kernel times coefficients.
 
 Training uses at most ``PER_LANGUAGE`` rows of each language, those with the smallest hash of their id among
-the labelled rows that are not held out, and of these ``LANDMARKS`` as landmarks. Only their presence bits,
+the labelled rows that are not held out (and among these, of rows whose hash is below about ``MARGIN`` times that
+share of all hashes, which is less only where most texts are null), and of these ``LANDMARKS`` as landmarks. Only their presence bits,
 ``BUCKETS / 8`` bytes a row, come to the driver, and where texts are to be rejected the first ``HEAD``
 characters. Whole texts are read in training and in prediction.
 
@@ -45,7 +46,7 @@ from .common import hash60, python_ready, table
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
-PER_LANGUAGE = 150
+PER_LANGUAGE, MARGIN = 150, 8
 LANDMARKS = 64
 RIDGE = 1e-2
 GROUP_DOCS, GROUP_CHARS = 64, 1 << 18
@@ -196,6 +197,13 @@ def train(rows: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
     """rows: id, text, lang, all of them labelled. reject: whether the model is to tell foreign texts."""
     python_ready(rows.sparkSession)
     usable = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    # Ids below a share of all hashes that leaves about MARGIN times as many as needed: no more texts than these are shuffled.
+    counts = rows.where(F.col("lang").isNotNull()).groupBy("lang").count().collect()  # languages are few: the model has a column for each
+    if not counts:
+        return None
+    below = [(r["lang"], min(1 << 60, int((MARGIN * per_language / r["count"]) * 2**60))) for r in counts]
+    below = rows.sparkSession.createDataFrame(below, "lang string, below long")
+    usable = usable.join(F.broadcast(below), "lang").where(hash60(F.col("id")) < F.col("below")).drop("below")
     order = W.partitionBy("lang").orderBy(hash60(F.col("id")), F.col("id"), F.md5("text"))
     sample = usable.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "n", "text")
     sample = sample.mapInArrow(_bits, "lang string, n int, bits binary, head string")
