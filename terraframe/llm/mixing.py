@@ -14,7 +14,8 @@ within one bucket, so a source that holds a third of all rows is spread over man
 Defined results
     * A null or blank text has size 0 and is never taken; it still has its row.
     * A null source is a source of its own, last in order. Null ids are ordinary values.
-    * Rows equal in (source, id, size) are interchangeable: they follow each other in the stream.
+    * Rows equal in (source, id, size) follow each other in the stream, ordered by a hash of all their columns, so
+      reruns agree; rows equal in all of them are interchangeable.
     * An empty table gives an empty result. Extra columns of the input are not read by the plan.
 """
 
@@ -113,7 +114,7 @@ def training_order(docs: DataFrame, source_col: str = "source", id_col: str = "d
     same = F.col("_s").eqNullSafe(F.col("source")) & F.col("_d").eqNullSafe(F.col("id")) & (F.col("_z") == F.col("size"))
     both = doc.join(plan, same)
     if not plan.where(F.col("n") > 1).isEmpty():  # equal rows follow each other in the stream
-        turn = F.row_number().over(W.partitionBy("_s", "_d", "_z").orderBy(F.lit(1))) - 1
+        turn = F.row_number().over(W.partitionBy("_s", "_d", "_z").orderBy(F.xxhash64(F.to_json("row")))) - 1
         both = both.withColumn("start", F.col("start") + turn * F.col("size"))
     both = _passes(both).where(F.col("passes") > 0)
     both = both.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))

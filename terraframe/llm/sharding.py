@@ -25,6 +25,8 @@ from .common import hash60, materialize, table
 
 HASH_BITS = 60
 LIMIT_BYTES = 1 << 20
+#: Levels of the directory that are summed up at once.
+LEVELS = 8
 
 
 def _name(depth: Column, prefix: Column) -> Column:
@@ -32,13 +34,29 @@ def _name(depth: Column, prefix: Column) -> Column:
 
 
 def _directory(cells: DataFrame, depth: int, limit: int) -> DataFrame:
-    """For each cell of ``depth`` bits, the least number of bits whose bucket fits; null where none does."""
-    paths = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d")).select(
-        "cell", "bytes", "d", F.expr(f"shiftright(cell, {depth} - d)").alias("prefix")
-    )
-    fits = paths.groupBy("d", "prefix").agg(F.sum("bytes").alias("bucket_bytes")).where(F.col("bucket_bytes") <= limit)
-    best = paths.join(fits, ["d", "prefix"]).groupBy("cell").agg(F.min("d").alias("local_depth"))
-    return cells.select("cell").join(best, "cell", "left")
+    """For each cell of ``depth`` bits, the least number of bits whose bucket fits; null where none does.
+
+    Buckets are summed up a few levels at a time, each time from the coarsest sums so far, so that cells are
+    multiplied by ``LEVELS``, not by their depth."""
+    sums, top, best = cells, depth, None
+    while True:
+        low = max(0, top - LEVELS)
+        paths = sums.select("cell", "bytes", F.explode(F.sequence(F.lit(low), F.lit(top))).alias("d")).select("cell", "bytes", "d", F.expr(f"shiftright(cell, {top} - d)").alias("prefix"))
+        buckets = paths.groupBy("d", "prefix").agg(F.sum("bytes").alias("bucket_bytes"))
+        fits = buckets.where(F.col("bucket_bytes") <= limit)
+        found = paths.join(fits, ["d", "prefix"]).groupBy("cell").agg(F.min("d").alias("local_depth"))
+        if best is None:
+            best = cells.select("cell").join(found, "cell", "left")
+        else:  # a coarser bucket that fits is preferred to the finer ones in it
+            coarser = found.select(F.col("cell").alias("upper"), F.col("local_depth").alias("coarse"))
+            best = best.withColumn("upper", F.expr(f"shiftright(cell, {depth - top})")).join(coarser, "upper", "left").select("cell", F.coalesce("coarse", "local_depth").alias("local_depth"))
+        if low == 0:
+            return best
+        sums = materialize(buckets.where(F.col("d") == low).select(F.col("prefix").alias("cell"), F.col("bucket_bytes").alias("bytes")))
+        # Where no sum is within the limit, no coarser one is.
+        if sums.where(F.col("bytes") <= limit).isEmpty():
+            return best
+        top = low
 
 
 def assign_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -92,6 +92,79 @@ def test_large_group_around_one_original(spark):
     assert got == brute_classes(variants)
 
 
+def test_hot_buckets_lose_no_link(spark, monkeypatch):
+    """Buckets cut into blocks, with few representatives: several groups, and members that only one other is near."""
+    monkeypatch.setattr(near_dedup, "HOT", 12)
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "GUESTS", 2)
+    rng = np.random.default_rng(15)
+    out = []
+    for g in range(4):
+        base = words(rng, 60)
+        for i in range(30):
+            own = list(base)
+            own[i % 60] = f"edit{i}"
+            if i % 3 == 0:
+                own[(7 * i + 13) % 60] = "more"
+            out.append((100 * g + i, " ".join(own), "en", "s"))
+        out.append((100 * g + 99, " ".join(base), "en", "s"))
+    shared = words(rng, 40)
+    out += [(1000 + i, " ".join(shared + words(rng, 14)), "en", "s") for i in range(30)]
+    got = Counter(map(tuple, near_dedup.near_duplicates(documents(spark, out)).collect()))
+    assert got == brute_classes(out)
+
+
+def test_links_of_a_bucket_join_what_is_similar():
+    rng = np.random.default_rng(16)
+    sets = [rng.integers(0, 60, 20).astype(np.uint64) for _ in range(40)]
+    sets = [np.unique(x) for x in sets]
+    sets += [np.unique(np.append(x[1:], np.uint64(100 + k))) for k, x in enumerate(sets[:20])]
+    weights = [rng.choice([1.0, 1.5], len(x)) for x in sets]
+    blobs = [x.tobytes() + w.astype(np.float32).tobytes() for x, w in zip(sets, weights)]
+    keys = [f"k{k:02}" for k in range(len(sets))]
+    roots = [keys[k % 7] if k < 14 else keys[k] for k in range(len(sets))]
+    up = {k: r for k, r in zip(keys, roots)}
+
+    def root(x, up):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    want, got = dict(up), dict(up)
+    for i in range(len(sets)):
+        for j in range(i):
+            if near_dedup.weighted_jaccard((sets[i], weights[i]), (sets[j], weights[j])) >= 0.5:
+                want[root(keys[i], want)] = root(keys[j], want)
+    links = near_dedup._links(keys, roots, blobs, 0.5)
+    for u, v in links:
+        assert root(u, got) != root(v, got)
+        got[root(u, got)] = root(v, got)
+    same = lambda x: {frozenset(k for k in keys if root(k, x) == r) for r in {root(k, x) for k in keys}}
+    assert same(got) == same(want) and len(links) > 5
+    assert near_dedup._links(keys, [keys[0]] * len(keys), blobs, 0.0) == []
+
+
+@pytest.mark.parametrize("bounds", [{}, {"COUNTERS": 50}, {"CANDIDATES": 3}, {"GATHER": 100, "TASK_DOCS": 20}])
+def test_document_frequencies_are_exact(spark, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = np.random.default_rng(17)
+    common = [words(rng, 12) for _ in range(6)]
+    texts = [" ".join(words(rng, int(rng.integers(5, 60))) + common[int(rng.integers(0, 6)) if k % 3 else 0]) for k in range(150)] + [None, "", "one two"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    counts = Counter(h for t in texts for h in near_dedup.shingles(t)[0].tolist())
+    w = near_dedup.document_frequencies(df, 0.05)
+    want = sorted(h for h, n in counts.items() if n > 0.05 * len(texts))
+    assert sorted(w.hashes.tolist()) == want and len(want) > 20
+    assert np.allclose(w.common, [1 + np.log(len(texts) / counts[h]) / (2 * np.log(20)) for h in w.hashes.tolist()])
+
+
+def test_of_repeated_rows_the_same_one_stays(spark):
+    df = spark.createDataFrame([(1, "a b c", k) for k in range(9)] + [(1, "other words", 0)], "doc_id long, text string, n long")
+    kept = [{tuple(r) for r in near_dedup.deduplicated(df.repartition(n)).collect()} for n in (1, 5)]
+    assert kept[0] == kept[1] and sorted(x[1] for x in kept[0]) == ["a b c", "other words"]
+
+
 def test_one_of_each_class_stays(spark, rows):
     docs = documents(spark, rows)
     out = near_dedup.deduplicated(docs)
@@ -582,6 +655,7 @@ def test_very_long_texts_take_linear_time():
     import time
     import tracemalloc
 
+    pii.trained()
     text = "call (743) 555-3824, " * 8000
     tracemalloc.start()
     t = time.time()
