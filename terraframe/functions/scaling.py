@@ -1,10 +1,14 @@
-"""Rescaling, standardising and stretching of bands. ``keys`` name the columns that tell bands or images apart."""
+"""Rescaling, standardising and stretching of bands. ``keys`` name the columns that tell bands or images apart.
+
+Statistics of a band or image are one aggregate, joined back to its pixels, so that no task holds a whole band.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .frames import exact_percentiles, fresh, with_group, with_stats
 
 NODATA = -9999.0
 TINY = 1e-12
@@ -58,10 +62,12 @@ def rescale(value: Column, lo: Column, hi: Column, out_min: float = 0.0, out_max
 
 
 def normalize_band(df: DataFrame, keys: list[str], value: str = "value", src_min: float | None = None, src_max: float | None = None, out_min: float = 0.0, out_max: float = 1.0, out: str = "normalized") -> DataFrame:
-    w = W.partitionBy(*keys)
-    lo = F.lit(float(src_min)) if src_min is not None else F.min(value).over(w)
-    hi = F.lit(float(src_max)) if src_max is not None else F.max(value).over(w)
-    return df.withColumn(out, rescale(F.col(value), lo, hi, out_min, out_max))
+    if src_min is not None and src_max is not None:
+        return df.withColumn(out, rescale(F.col(value), F.lit(float(src_min)), F.lit(float(src_max)), out_min, out_max))
+    joined, own = with_stats(df, keys, lo=F.min(value), hi=F.max(value))
+    lo = F.lit(float(src_min)) if src_min is not None else F.col(own["lo"])
+    hi = F.lit(float(src_max)) if src_max is not None else F.col(own["hi"])
+    return joined.withColumn(out, rescale(F.col(value), lo, hi, out_min, out_max)).drop(*own.values())
 
 
 def zscore(value: Column, mean: Column, std: Column) -> Column:
@@ -71,11 +77,11 @@ def zscore(value: Column, mean: Column, std: Column) -> Column:
 
 def minmax_band(df: DataFrame, keys: list[str], value: str = "value", out: str = "minmax") -> DataFrame:
     """To [0, 1]; a constant band is 0.5. Adds also vmin and vmax, 0 where nothing is valid."""
-    w = W.partitionBy(*keys)
-    df = df.withColumn("vmin", F.coalesce(F.min(value).over(w), F.lit(0.0))).withColumn("vmax", F.coalesce(F.max(value).over(w), F.lit(0.0)))
-    flat = F.col("vmax") - F.col("vmin") < TINY
-    scaled = (F.col(value) - F.col("vmin")) / F.when(~flat, F.col("vmax") - F.col("vmin"))
-    return df.withColumn(out, F.when(F.col(value).isNull(), None).when(flat, F.lit(0.5)).otherwise(scaled))
+    joined, own = with_stats(df, keys, lo=F.coalesce(F.min(value), F.lit(0.0)), hi=F.coalesce(F.max(value), F.lit(0.0)))
+    lo, hi = F.col(own["lo"]), F.col(own["hi"])
+    flat = hi - lo < TINY
+    scaled = F.when(F.col(value).isNull(), None).when(flat, F.lit(0.5)).otherwise((F.col(value) - lo) / F.when(~flat, hi - lo))
+    return joined.withColumns({"vmin": lo, "vmax": hi, out: scaled}).drop(*own.values())
 
 
 def normalize_for_dl(df: DataFrame, method: str, keys: list[str], band: str = "band", value: str = "value", stats: DataFrame | None = None, nodata: float | None = None, out: str = "normalized") -> DataFrame:
@@ -86,32 +92,30 @@ def normalize_for_dl(df: DataFrame, method: str, keys: list[str], band: str = "b
     if method == "minmax":
         return minmax_band(df, [*keys, band], value, out).drop("vmin", "vmax")
     if method == "zscore" and stats is None:
-        w = W.partitionBy(*keys, band)
-        return df.withColumn(out, zscore(F.col(value), F.avg(value).over(w), F.stddev_pop(value).over(w)))
+        joined, own = with_stats(df, [*keys, band], mean=F.avg(value), std=F.stddev_pop(value))
+        return joined.withColumn(out, zscore(F.col(value), F.col(own["mean"]), F.col(own["std"]))).drop(*own.values())
     if method != "zscore":
         preset = get_preset(method)  # at most a dozen rows
         stats = df.sparkSession.createDataFrame([(b, m, s) for b, (m, s) in preset.items()], "band string, mean double, std double")
-    known = stats.select(F.col("band").alias("_band"), F.col("mean").alias("_mean"), F.col("std").alias("_std"))
-    joined = df.join(known, df[band] == F.col("_band"), "left")
-    checked = F.when(F.col("_band").isNull(), F.raise_error(F.concat(F.lit("no statistics for band "), F.coalesce(F.col(band), F.lit("null")))).cast("double")).otherwise(zscore(F.col(value), F.col("_mean"), F.col("_std")))
-    return joined.withColumn(out, checked).drop("_band", "_mean", "_std")
+    own, mean, std = fresh(df, "band", "mean", "std")
+    known = stats.select(F.col("band").alias(own), F.col("mean").alias(mean), F.col("std").alias(std))
+    joined = df.join(known, df[band] == F.col(own), "left")
+    checked = F.when(F.col(own).isNull(), F.raise_error(F.concat(F.lit("no statistics for band "), F.coalesce(F.col(band), F.lit("null")))).cast("double")).otherwise(zscore(F.col(value), F.col(mean), F.col(std)))
+    return joined.withColumn(out, checked).drop(own, mean, std)
 
 
 def percentile_stretch(df: DataFrame, keys: list[str], value: str = "value", lo: float = 0.02, hi: float = 0.98, out: str = "stretched") -> DataFrame:
     """Linear between two exact percentiles of the finite values, clipped to [0, 1]; 0 if they are equal."""
-    bounds = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(lo), F.lit(hi))).alias("_p"))
-    a, b = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
+    (p,) = fresh(df, "percentiles")
+    known = exact_percentiles(df, keys, value, [lo, hi], p)
+    empty = df.select(*keys).distinct().join(known, [df[k].eqNullSafe(known[k]) for k in keys], "left_anti") if keys else None
+    if empty is not None:  # bands without a valid pixel keep their rows
+        known = known.unionByName(empty.withColumn(p, F.array(F.lit(None).cast("double"), F.lit(None).cast("double"))))
+    joined = with_group(df, known, keys, [p])
+    a, b = F.get(p, F.lit(0)), F.get(p, F.lit(1))
     scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value) - a) / F.when(b > a, b - a)))
-    joined = df.join(bounds.select(*[F.col(k).alias(f"_{k}") for k in keys], "_p"), _all(df, keys), "inner")
     return joined.withColumn(out, F.when(F.col(value).isNull(), None).when(b > a, scaled).otherwise(F.lit(0.0))).select(*df.columns, out)
 
 
-def _all(df: DataFrame, keys: list[str]) -> Column:
-    cond = df[keys[0]].eqNullSafe(F.col(f"_{keys[0]}"))
-    for k in keys[1:]:
-        cond = cond & df[k].eqNullSafe(F.col(f"_{k}"))
-    return cond
-
-
 def to_byte(stretched: Column) -> Column:
     return (stretched * 255).cast("int")

@@ -132,7 +132,7 @@ def top_hat_black(x: np.ndarray, radius: int = 3) -> np.ndarray:
     return morpho_close(x, radius) - x
 
 
-#: Name: kernel and its defaults.
+# Names and defaults of the filters, with their kernels.
 FILTERS: dict[str, tuple[Callable[..., np.ndarray], dict]] = {
     "gaussian": (gaussian_blur, {"sigma": 1.0, "kradius": None}),
     "bilateral": (bilateral_filter, {"sigma_s": 2.0, "sigma_r": 0.1, "kradius": None}),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.frames import fresh
 from .tiles import map_series
 
 METHODS = ("linear", "savgol", "pchip", "ets", "gauss")
@@ -19,13 +20,15 @@ METHODS = ("linear", "savgol", "pchip", "ets", "gauss")
 def fill_linear(df: DataFrame, keys: list[str], order: str, value: str = "value", out: str = "filled") -> DataFrame:
     """Between the neighbours by index; before the first and after the last valid value, that value."""
     w = W.partitionBy(*keys).orderBy(order)
-    df = df.withColumn("_t", F.row_number().over(w))
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col("_t").alias("t"), F.col(value).alias("v")))
+    t, before, behind = fresh(df, "t", "a", "b")
+    df = df.withColumn(t, F.row_number().over(w))
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(t).alias("t"), F.col(value).alias("v")))
     a = F.last(known, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
     b = F.first(known, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
-    df = df.withColumn("_a", a).withColumn("_b", b)
-    between = F.col("_a.v") + (F.col("_t") - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t")) * (F.col("_b.v") - F.col("_a.v"))
-    return df.withColumn(out, F.coalesce(F.col(value), between, F.col("_a.v"), F.col("_b.v"))).drop("_t", "_a", "_b")
+    df = df.withColumn(before, a).withColumn(behind, b)
+    a, b = (lambda c: F.col(f"{before}.{c}")), (lambda c: F.col(f"{behind}.{c}"))
+    between = a("v") + (F.col(t) - a("t")) / (b("t") - a("t")) * (b("v") - a("v"))
+    return df.withColumn(out, F.coalesce(F.col(value), between, a("v"), b("v"))).drop(t, before, behind)
 
 
 def linear(x: np.ndarray) -> np.ndarray:
@@ -125,6 +128,7 @@ def pchip(x: np.ndarray) -> np.ndarray:
     return np.where(known, x, np.where(inside, curve, linear(x)))
 
 
+# The constants that are tried.
 ALPHAS = tuple(0.1 + k * 0.2 for k in range(5))
 BETAS = tuple(0.05 + k * 0.1 for k in range(5))
 

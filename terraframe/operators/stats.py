@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.frames import fresh, with_group
+
 TINY = 1e-12
 
 
@@ -25,20 +27,28 @@ def valid_obs_count(df: DataFrame, keys: list[str], value: str = "value") -> Dat
     return df.groupBy(*keys).agg(F.count(value).alias("count"), (F.count(value) / F.count(F.lit(1))).alias("fraction"))
 
 
+SHARES = (0.10, 0.25, 0.50, 0.75, 0.90)
+
+
+def _quantiles(value: str) -> tuple[Column, list[Column]]:
+    """The aggregate, and its columns."""
+    return F.percentile(value, F.array(*map(F.lit, SHARES))).alias("q"), [F.get("q", F.lit(k)).alias(f"p{round(100 * s)}") for k, s in enumerate(SHARES)]
+
+
 def pixel_quantiles(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    shares = (0.10, 0.25, 0.50, 0.75, 0.90)
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("q"))
-    return q.select(*keys, *[F.get("q", F.lit(k)).alias(f"p{round(100 * s)}") for k, s in enumerate(shares)])
+    agg, columns = _quantiles(value)
+    return df.groupBy(*keys).agg(agg).select(*keys, *columns)
 
 
 def pixel_iqr(df: DataFrame, keys: list[str], value: str = "value", fence: float = 1.5) -> DataFrame:
     """The rows with iqr and outlier (Tukey's fences, strict); NULL with fewer than two observations."""
     w = W.partitionBy(*keys)
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).over(w)
-    df = df.withColumn("_q", F.when(F.count(value).over(w) >= 2, q))
-    a, b = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
+    (own,) = fresh(df, "q")
+    df = df.withColumn(own, F.when(F.count(value).over(w) >= 2, q))
+    a, b = F.get(own, F.lit(0)), F.get(own, F.lit(1))
     out = (F.col(value) < a - fence * (b - a)) | (F.col(value) > b + fence * (b - a))
-    return df.withColumn("iqr", b - a).withColumn("outlier", out).drop("_q")
+    return df.withColumn("iqr", b - a).withColumn("outlier", out).drop(own)
 
 
 def raster_band_stats(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -99,16 +109,38 @@ def pearson(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return g.select(*keys, F.when(F.col("n") >= 3, F.when(root <= TINY, 0.0).otherwise(F.col("c") * F.col("n") / F.when(root > TINY, root))).alias("r"))
 
 
-def pixel_regression(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """slope, intercept, r2 of least squares; NULL below two points; (0, mean, 0) where x does not vary."""
+def _regression(x: str, y: str) -> tuple[list[Column], list[Column]]:
+    """The aggregates, and the columns made of them."""
     both = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), True)
     u, v = F.when(both, F.col(x)), F.when(both, F.col(y))
-    g = df.groupBy(*keys).agg(F.count(both).alias("n"), F.avg(u).alias("mx"), F.avg(v).alias("my"), F.covar_pop(u, v).alias("c"), F.var_pop(u).alias("vx"), F.var_pop(v).alias("vy"))
-    flat = F.col("vx") < TINY
-    slope = F.when(flat, 0.0).otherwise(F.col("c") / F.when(~flat, F.col("vx")))
-    r2 = F.when(flat | (F.col("n") * F.col("vy") < TINY), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c") * F.col("c") / F.when(~flat & (F.col("vy") > 0), F.col("vx") * F.col("vy")))))
-    ok = lambda c: F.when(F.col("n") >= 2, c)
-    return g.select(*keys, ok(slope).alias("slope"), ok(F.col("my") - slope * F.col("mx")).alias("intercept"), ok(r2).alias("r2"))
+    aggs = [F.count(both).alias("r_n"), F.avg(u).alias("r_mx"), F.avg(v).alias("r_my"), F.covar_pop(u, v).alias("r_c"), F.var_pop(u).alias("r_vx"), F.var_pop(v).alias("r_vy")]
+    n, mx, my, c, vx, vy = (F.col(f"r_{k}") for k in ("n", "mx", "my", "c", "vx", "vy"))
+    flat = vx < TINY
+    slope = F.when(flat, 0.0).otherwise(c / F.when(~flat, vx))
+    r2 = F.when(flat | (n * vy < TINY), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c * c / F.when(~flat & (vy > 0), vx * vy))))
+    ok = lambda e: F.when(n >= 2, e)
+    return aggs, [ok(slope).alias("slope"), ok(my - slope * mx).alias("intercept"), ok(r2).alias("r2")]
+
+
+def pixel_regression(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """slope, intercept, r2 of least squares; NULL below two points; (0, mean, 0) where x does not vary."""
+    aggs, columns = _regression(x, y)
+    return df.groupBy(*keys).agg(*aggs).select(*keys, *columns)
+
+
+def regression_on(df: DataFrame, keys: list[str], predictor: DataFrame, t: str = "t", x: str = "x", y: str = "value") -> DataFrame:
+    """``pixel_regression`` on a predictor that all pixels share. predictor: t, x, one row for each time."""
+    (own,) = fresh(df, "x")
+    joined = with_group(df, predictor.select(F.col(t), F.col(x).alias(own)), [t], [own])
+    return pixel_regression(joined, keys, own, y)
+
+
+def pixel_profile(df: DataFrame, keys: list[str], x: str = "day", y: str = "value") -> DataFrame:
+    """Coverage, quantiles and trend of each pixel from one aggregate: count, fraction, p10 to p90, slope, intercept, r2."""
+    q, quantiles = _quantiles(y)
+    aggs, trend = _regression(x, y)
+    g = df.groupBy(*keys).agg(F.count(y).alias("count"), (F.count(y) / F.count(F.lit(1))).alias("fraction"), q, *aggs)
+    return g.select(*keys, "count", "fraction", *quantiles, *trend)
 
 
 def time_window_stats(df: DataFrame, keys: list[str], day: str = "day", value: str = "value", window_days: float = 30) -> DataFrame:
@@ -118,8 +150,9 @@ def time_window_stats(df: DataFrame, keys: list[str], day: str = "day", value: s
     w = W.partitionBy(*keys)
     own = F.when(F.col(value).isNotNull(), F.col(day))
     middle = (F.min(own).over(w) + F.max(own).over(w)) / 2
-    df = df.withColumn("_in", F.col(value).isNotNull() & (F.abs(F.col(day) - middle) <= window_days / 2))
-    x, y = F.when(F.col("_in"), F.col(day)), F.when(F.col("_in"), F.col(value))
+    (inside,) = fresh(df, "in")
+    df = df.withColumn(inside, F.col(value).isNotNull() & (F.abs(F.col(day) - middle) <= window_days / 2))
+    x, y = F.when(F.col(inside), F.col(day)), F.when(F.col(inside), F.col(value))
     g = df.groupBy(*keys).agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("s"), F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("v"))
     flat = F.col("n") * F.col("v") <= TINY
     return g.select(*keys, "mean", F.when(F.col("n") >= 1, F.coalesce("s", F.lit(0.0))).alias("std"), F.when(F.col("n") >= 1, F.when(flat, 0.0).otherwise(F.col("c") / F.when(~flat, F.col("v")))).alias("slope"))
@@ -128,8 +161,9 @@ def time_window_stats(df: DataFrame, keys: list[str], day: str = "day", value: s
 def anomaly_zscore(df: DataFrame, keys: list[str], day: str = "day", value: str = "value", window_days: float = 30, background: DataFrame | None = None) -> DataFrame:
     """(value - mean) / std by the background (keys, mean, std), which is that of ``time_window_stats`` by default."""
     bg = background if background is not None else time_window_stats(df, keys, day, value, window_days)
-    joined = df.join(bg.select(*keys, F.col("mean").alias("_mean"), F.col("std").alias("_std")), keys, "left")
-    return joined.withColumn("zscore", F.when(F.col("_std") >= TINY, (F.col(value) - F.col("_mean")) / F.when(F.col("_std") >= TINY, F.col("_std")))).drop("_mean", "_std")
+    mean, std = fresh(df, "mean", "std")
+    joined = df.join(bg.select(*keys, F.col("mean").alias(mean), F.col("std").alias(std)), keys, "left")
+    return joined.withColumn("zscore", F.when(F.col(std) >= TINY, (F.col(value) - F.col(mean)) / F.when(F.col(std) >= TINY, F.col(std)))).drop(mean, std)
 
 
 def temporal_gap_stats(df: DataFrame, keys: list[str], day: str = "day", value: str = "value", order: str | None = None) -> DataFrame:
@@ -137,7 +171,8 @@ def temporal_gap_stats(df: DataFrame, keys: list[str], day: str = "day", value:
     w = W.partitionBy(*keys).orderBy(order or day)
     before = F.last(F.when(F.col(value).isNotNull(), F.col(day)), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
     gap = F.when(F.col(value).isNotNull(), F.col(day) - before)
-    return df.withColumn("_gap", gap).groupBy(*keys).agg(F.max("_gap").alias("max_gap"), F.avg("_gap").alias("mean_gap"))
+    (own,) = fresh(df, "gap")
+    return df.withColumn(own, gap).groupBy(*keys).agg(F.max(own).alias("max_gap"), F.avg(own).alias("mean_gap"))
 
 
 def fill_report(df: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:

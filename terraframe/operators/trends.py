@@ -2,43 +2,103 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .tiles import map_pairs
+
 TINY = 1e-12
 
 
-def _pairs(df: DataFrame, keys: list[str], day: str, value: str) -> DataFrame:
-    """All pairs of a pixel's valid observations in time order. They are unfolded from the pixel's own series, so nothing is
-    exchanged besides the grouping by pixel that follows from the same partitioning."""
-    valid = F.when(F.col(value).isNotNull(), F.struct(F.col(day).alias("x"), F.col(value).alias("y")))
+#: Pairs that a kernel holds at once; a single series of more is counted in passes.
+PAIRS = 1 << 22
+
+
+def _observations(df: DataFrame, keys: list[str], day: str, value: str) -> DataFrame:
+    """One row per pixel: its valid observations in time order as two arrays, x and y."""
+    valid = F.when(F.col(value).isNotNull(), F.struct(F.col(day).cast("double").alias("x"), F.col(value).cast("double").alias("y")))
     series = df.groupBy(*keys).agg(F.array_sort(F.collect_list(valid)).alias("obs"))
-    each = series.select(*keys, "obs", F.posexplode("obs").alias("i", "a"))
-    return each.select(*keys, "a", F.explode(F.slice("obs", F.col("i") + 2, F.size("obs"))).alias("b"))
+    return series.select(*keys, F.transform("obs", lambda o: o["x"]).alias("x"), F.transform("obs", lambda o: o["y"]).alias("y"))
+
+
+def _slopes(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Slopes of pairs of columns, NaN for two observations of one time."""
+    dx = x[:, j] - x[:, i]
+    return np.divide(y[:, j] - y[:, i], dx, out=np.full(dx.shape, np.nan), where=np.abs(dx) > TINY)
+
+
+def _median_of_long(x: np.ndarray, y: np.ndarray) -> float:
+    """The median slope of one long series, in memory that grows with the series, not with its pairs: sampled slopes bracket
+    it, a pass counts those below and keeps those inside; the bracket is widened until the middle is inside."""
+    n, rng = len(x), np.random.default_rng(0)
+    i = rng.integers(0, n - 1, 1 << 18)
+    j = rng.integers(i + 1, n)
+    seen = np.sort(_slopes(x[None], y[None], i, j)[0])
+    seen = seen[~np.isnan(seen)]
+    for part in (0.01, 0.05, 0.25, 1.0):
+        lo, hi = (-np.inf, np.inf) if part == 1 or not len(seen) else np.quantile(seen, [max(0.0, 0.5 - part), min(1.0, 0.5 + part)])
+        below = total = 0
+        inside = []
+        for k in range(n - 1):
+            s = _slopes(x[None], y[None], np.full(n - 1 - k, k), np.arange(k + 1, n))[0]
+            s = s[~np.isnan(s)]
+            below, total = below + int((s < lo).sum()), total + len(s)
+            inside.append(s[(s >= lo) & (s <= hi)])
+        kept = np.sort(np.concatenate(inside))
+        first, last = (total - 1) // 2 - below, total // 2 - below
+        if total and 0 <= first and last < len(kept):
+            return float((kept[first] + kept[last]) / 2)
+    return np.nan
+
+
+def _theil_sen(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    m, n = x.shape
+    if not n:
+        return {"slope": np.full(m, np.nan), "intercept": np.full(m, np.nan)}
+    slope = np.zeros(m)
+    i, j = np.triu_indices(n, 1) if n * n <= 2 * PAIRS else (None, None)
+    if n > 1:
+        step = max(1, PAIRS // max(1, n * (n - 1) // 2))
+        for lo in range(0, m, step):
+            if i is None:
+                slope[lo] = _median_of_long(x[lo], y[lo])
+                continue
+            s = _slopes(x[lo : lo + step], y[lo : lo + step], i, j)
+            some = ~np.isnan(s).all(1)
+            slope[lo : lo + step][some] = np.nanmedian(s[some], 1)
+    slope = np.nan_to_num(slope)
+    return {"slope": slope, "intercept": np.median(y, 1) - (slope * np.median(x, 1) if n > 1 else 0.0)}
 
 
 def theil_sen(df: DataFrame, keys: list[str], day: str = "day", value: str = "value") -> DataFrame:
-    """Median of all slopes, and intercept; (0, value) for one observation, NULL for none."""
-    slope = F.when(F.abs(F.col("b.x") - F.col("a.x")) > TINY, (F.col("b.y") - F.col("a.y")) / F.nullif(F.col("b.x") - F.col("a.x"), F.lit(0.0)))
-    slopes = _pairs(df, keys, day, value).groupBy(*keys).agg(F.percentile(slope, F.lit(0.5)).alias("s"))
-    own = F.when(F.col(value).isNotNull(), F.col(day))
-    medians = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("my"), F.percentile(own, F.lit(0.5)).alias("mx"), F.count(value).alias("n"))
-    s = F.coalesce("s", F.lit(0.0))
-    both = medians.join(slopes, keys, "left")
-    return both.select(*keys, F.when(F.col("n") > 0, s).alias("slope"), F.when(F.col("n") == 1, F.col("my")).when(F.col("n") > 1, F.col("my") - s * F.col("mx")).alias("intercept"))
+    """Median of all slopes, and intercept; (0, value) for one observation, NULL for none. One exchange by pixel; slopes
+    are made in batches of series of one length and never leave the kernel."""
+    return map_pairs(_observations(df, keys, day, value), _theil_sen, "x", "y", ["slope", "intercept"])
+
+
+def _mann_kendall(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    m, n = y.shape
+    out = {k: np.full(m, np.nan) for k in ("S", "varS", "Z", "trend")}
+    if n < 4:
+        return out
+    s = np.zeros(m)
+    for k in range(n - 1):
+        s += np.sign(y[:, k + 1 :] - y[:, k : k + 1]).sum(1)
+    ordered = np.sort(y, 1)
+    start = np.concatenate([np.ones((m, 1), bool), ordered[:, 1:] != ordered[:, :-1]], 1)
+    first = np.flatnonzero(start)
+    size = np.diff(np.append(first, m * n)).astype(float)
+    ties = np.bincount(first // n, size * (size - 1) * (2 * size + 5), m)
+    var = (n * (n - 1) * (2 * n + 5) - ties) / 18
+    z = np.divide(s - np.sign(s), np.sqrt(np.maximum(var, 0)), out=np.zeros(m), where=var >= TINY)
+    return {"S": s, "varS": var, "Z": z, "trend": np.where(np.abs(z) > 1.96, np.sign(z), 0.0)}
 
 
 def mann_kendall(df: DataFrame, keys: list[str], day: str = "day", value: str = "value") -> DataFrame:
     """S, its tie-corrected variance, Z and trend (-1, 0, 1 at |Z| > 1.96); NULL below four observations."""
-    s = _pairs(df, keys, day, value).groupBy(*keys).agg(F.sum(F.signum(F.col("b.y") - F.col("a.y"))).alias("s"))
-    groups = df.groupBy(*keys, value).agg(F.count(value).alias("t"))
-    ties = groups.groupBy(*keys).agg(F.sum("t").alias("n"), F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("ties"))
-    n = F.col("n").cast("double")
-    both = ties.join(s, keys, "left").withColumn("S", F.when(F.col("n") >= 4, F.coalesce("s", F.lit(0.0)))).withColumn("varS", F.when(F.col("n") >= 4, (n * (n - 1) * (2 * n + 5) - F.col("ties")) / 18))
-    root = F.sqrt(F.when(F.col("varS") >= TINY, F.col("varS")))
-    z = F.when(F.col("n") >= 4, F.when(F.col("varS") < TINY, 0.0).otherwise((F.col("S") - F.signum("S")) / root))
-    return both.withColumn("Z", z).select(*keys, "S", "varS", "Z", F.when(F.col("Z").isNotNull(), F.when(F.abs("Z") > 1.96, F.signum("Z")).otherwise(0.0)).alias("trend"))
+    return map_pairs(_observations(df, keys, day, value), _mann_kendall, "x", "y", ["S", "varS", "Z", "trend"])
 
 
 def breakpoint_scan(df: DataFrame, keys: list[str], day: str = "day", value: str = "value") -> DataFrame:

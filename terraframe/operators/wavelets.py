@@ -144,6 +144,21 @@ def inverse(df: DataFrame, levels: int = 1, wavelet: str = "haar", data: str = "
     return map_tiles(df, lambda x: idwt2d(x, levels, wavelet), data, data)
 
 
+def _cubes(shape: tuple[int, int, int], kernel):
+    return lambda x: np.stack([kernel(cube.reshape(shape)).reshape(cube.shape) for cube in x])
+
+
+def transform3d(df: DataFrame, shape: tuple[int, int, int], levels: int = 1, wavelet: str = "haar", data: str = "data") -> DataFrame:
+    """Rows whose data are cubes of (times, rows, cols); n_rows x n_cols is as many values."""
+    taps(wavelet)
+    return map_tiles(df, _cubes(shape, lambda x: dwt3d(x, levels, wavelet)), data, data)
+
+
+def inverse3d(df: DataFrame, shape: tuple[int, int, int], levels: int = 1, wavelet: str = "haar", data: str = "data") -> DataFrame:
+    taps(wavelet)
+    return map_tiles(df, _cubes(shape, lambda x: idwt3d(x, levels, wavelet)), data, data)
+
+
 def bayes_denoise(df: DataFrame, levels: int = 3, wavelet: str = "db4", data: str = "data") -> DataFrame:
     taps(wavelet)
     return map_tiles(df, lambda x: denoise(x, levels, wavelet), data, data)

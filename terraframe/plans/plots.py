@@ -37,11 +37,13 @@ def mask_frame(scl: DataFrame, bad=quality.BAD_CLASSES) -> DataFrame:
     return scl.withColumn("bad", quality.scl_mask(F.col("scl"), bad))
 
 
-def timeseries_frame(pixels: DataFrame, lon: float, lat: float, bands: list[str] | None = None, scl: DataFrame | None = None, half: float | None = None) -> DataFrame:
-    """(ts, band, value, cloudy) at a point, or as the mean of a box."""
+def timeseries_frame(pixels: DataFrame, lon: float, lat: float, bands: list[str] | None = None, scl: DataFrame | None = None, half: float | None = None, epsg: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """(ts, band, value, cloudy) at a point, or as the mean of a box. Class layers are found by their time; a time without one
+    is not cloudy. Without ``scl`` cloudy is NULL. keys tell places apart that share times."""
+    keys = keys or []
     own = pixels.where(F.col("band").isin(*bands)) if bands else pixels
-    value = quality.nearest_pixel(own, ["ts", "band"], lon, lat) if half is None else quality.bbox_mean(own, ["ts", "band"], lon, lat, half)
+    value = quality.nearest_pixel(own, [*keys, "ts", "band"], lon, lat, epsg=epsg) if half is None else quality.bbox_mean(own, [*keys, "ts", "band"], lon, lat, half)
     if scl is None:
         return value.withColumn("cloudy", F.lit(None).cast("boolean"))
-    cloudy = quality.nearest_pixel(scl, ["ts"], lon, lat, "scl").select("ts", quality.scl_mask(F.col("value")).alias("cloudy"))
-    return value.join(cloudy, "ts", "left")
+    cloudy = quality.nearest_pixel(scl, [*keys, "ts"], lon, lat, "scl", epsg=epsg).select(*keys, "ts", quality.scl_mask(F.col("value")).alias("cloudy"))
+    return value.join(cloudy, [*keys, "ts"], "left").withColumn("cloudy", F.coalesce("cloudy", F.lit(False)))

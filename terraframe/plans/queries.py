@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scaling, spectral
 from ..operators import filters, gapfill, grids, quality, stats, texture, tiles, trends, wavelets
-from ..sources import bands, catalog, store
-from . import plots, views
+from ..sources import bands, catalog, store, synthetic
+from . import analysis, plots, scenes, views
 from .stack import StackConfig, stack_timeseries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,16 +129,22 @@ def _(s, d):
     return plots.rgb_frame(_long(s, d).withColumnsRenamed({"l_orderkey": "row", "l_linenumber": "col"}), "red", "green", "blue")
 
 
-@query("grid_frame", f"WITH {_STRETCH} SELECT CASE name WHEN 'red' THEN 0 ELSE 1 END AS panel_id, count(*) AS n, round(sum(x), 3) AS total FROM st WHERE name IN ('red', 'nir') GROUP BY 1")
+@query("grid_frame", f"WITH {_STRETCH} SELECT CASE name WHEN 'red' THEN 0 ELSE 1 END AS panel_id, CASE name WHEN 'red' THEN 'a' ELSE 'b' END AS title, l_orderkey, l_linenumber, round(x, 6) + 0.0 AS stretched FROM st WHERE name IN ('red', 'nir')")
 def _(s, d):
     long = _long(s, d)
-    return plots.grid_frame([("a", long, "red"), ("b", long, "nir")]).groupBy("panel_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("stretched"), 3).alias("total"))
+    return rounded(plots.grid_frame([("a", long, "red"), ("b", long, "nir")]).select("panel_id", "title", *PIXEL, "stretched"))
 
 
-@query("centre_crop", f"WITH {views.PATCH} SELECT vec_id, row::INT AS row, col::INT AS col, round(v, 6) + 0.0 AS value FROM patch WHERE row BETWEEN 2 AND 5 AND col BETWEEN 2 AND 5")
+@query("centre_crop", f"WITH {views.PATCH} SELECT vec_id, (row - 2)::INT AS row, (col - 2)::INT AS col, round(v, 6) + 0.0 AS value FROM patch WHERE row BETWEEN 2 AND 5 AND col BETWEEN 2 AND 5")
 def _(s, d):
-    px = tiles.from_tiles(views.patch(s, d), ["vec_id"])
-    return rounded(px.where(F.col("row").between(2, 5) & F.col("col").between(2, 5)))
+    return rounded(grids.centre_crop(tiles.from_tiles(views.patch(s, d), ["vec_id"]), 8, 8, 4))
+
+
+@query("custom_nodata", f"WITH {views.WIDE} SELECT l_orderkey, l_linenumber, CASE WHEN NOT abs(red - 25) <= 1e-3 + 1e-5 * 25 THEN round((red - 20) / 4, 6) + 0.0 END AS normalized FROM wide")
+def _(s, d):
+    px = views.wide(s, d).select(*PIXEL, F.lit("B04").alias("band"), F.col("red").alias("value"))
+    known = s.createDataFrame([("B04", 20.0, 4.0)], "band string, mean double, std double")
+    return rounded(scaling.normalize_for_dl(px, "zscore", [], stats=known, nodata=25.0).select(*PIXEL, "normalized"))
 
 
 # Quality.
@@ -144,20 +152,20 @@ def _(s, d):
 
 @query(
     "check_dimensions",
-    "WITH x AS (SELECT p_partkey, (p_partkey * 37) % 12000 + 1 AS r, p_size * 11 AS c FROM part) SELECT p_partkey, concat_ws(',', CASE WHEN least(r, c) < 32 THEN 'too small' END, CASE WHEN greatest(r, c) > 10980 THEN 'too large' END, "
-    "CASE WHEN greatest(r, c) > 4.0 * least(r, c) THEN 'Degenerate' END) AS issues, NOT (least(r, c) < 32 OR greatest(r, c) > 10980 OR greatest(r, c) > 4.0 * least(r, c)) AS dimension_pass FROM x",
+    "WITH x AS (SELECT p_partkey, (p_partkey * 37) % 12000 + 1 AS r, p_size * 11 AS c FROM part) SELECT p_partkey, concat_ws(',', CASE WHEN least(r, c) < 32 THEN 'Scene too small: side below minimum threshold' END, CASE WHEN greatest(r, c) > 10980 THEN 'Scene too large: side exceeds maximum threshold' END, "
+    "CASE WHEN greatest(r, c) > 4.0 * least(r, c) THEN 'Degenerate shape: aspect ratio exceeds limit' END) AS issues, NOT (least(r, c) < 32 OR greatest(r, c) > 10980 OR greatest(r, c) > 4.0 * least(r, c)) AS dimension_pass FROM x",
 )
 def _(s, d):
     p = views.table(s, d, "part").select("p_partkey", (F.col("p_partkey") * 37 % 12000 + 1).alias("n_rows"), (F.col("p_size") * 11).alias("n_cols"))
     return quality.check_dimensions(p).select("p_partkey", F.array_join("issues", ",").alias("issues"), "dimension_pass")
 
 
-_METRICS = f"""{views.SCL}, a AS (SELECT scene_id, count(*) FILTER (scl NOT IN (0, 6)) AS valid, count(*) FILTER (scl IN (3, 8, 9, 10)) AS cloud, count(*) FILTER (scl = 11) AS snow, count(*) FILTER (scl IN (0, 6)) AS water_excluded FROM scl GROUP BY 1),
+_METRICS = f"""{views.SCL}, a AS (SELECT scene_id, count(*) FILTER (scl NOT IN (0, 6)) AS valid, count(*) FILTER (scl IN (3, 8, 9, 10)) AS cloud, count(*) FILTER (scl = 11) AS snow, count(*) FILTER (scl IN (0, 6)) AS n_excluded FROM scl GROUP BY 1),
 m AS (SELECT *, CASE WHEN valid > 0 THEN cloud / valid ELSE 0 END AS cloud_ratio, CASE WHEN valid > 0 THEN snow / valid ELSE 0 END AS snow_ratio FROM a),
 c AS (SELECT *, (CASE WHEN valid = 0 OR snow_ratio > 0.5 OR cloud_ratio > 0.35 THEN 0.0 WHEN cloud_ratio < 0.1 THEN 1.0 WHEN cloud_ratio < 0.3 THEN 0.75 WHEN cloud_ratio < 0.4 THEN 0.5 ELSE 0.0 END)::DOUBLE AS confidence_score FROM m)"""
 
 
-@query("validate_scl", f"WITH {_METRICS} SELECT scene_id, round(confidence_score, 6) AS confidence_score, round(cloud_ratio, 6) AS cloud_ratio, round(snow_ratio, 6) AS snow_ratio, water_excluded, concat_ws(',', CASE WHEN valid = 0 THEN 'no valid pixels' END, CASE WHEN cloud_ratio > 0.3 THEN 'cloud' END, CASE WHEN snow_ratio > 0.5 THEN 'snow' END) AS issues FROM c")
+@query("validate_scl", f"WITH {_METRICS} SELECT scene_id, round(confidence_score, 6) AS confidence_score, round(cloud_ratio, 6) AS cloud_ratio, round(snow_ratio, 6) AS snow_ratio, true AS water_excluded, n_excluded, concat_ws(',', CASE WHEN valid = 0 THEN 'No valid pixels after filtering' END, CASE WHEN cloud_ratio > 0.3 THEN 'High cloud cover' END, CASE WHEN snow_ratio > 0.5 THEN 'Excessive snow/ice' END) AS issues FROM c")
 def _(s, d):
     return rounded(quality.validate_scl(views.scl(s, d), ["scene_id"], threshold=0.35).withColumn("issues", F.array_join("issues", ",")))
 
@@ -181,7 +189,7 @@ def _(s, d):
 @query(
     "sidecar_join",
     f"WITH {_METRICS} SELECT s_suppkey AS scene_id, round(CASE WHEN s_suppkey % 3 = 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 0.25 ELSE 0 END ELSE coalesce(cloud_ratio, 0) END, 6) AS cloud_ratio, "
-    "CASE WHEN s_suppkey % 3 = 0 THEN 'sidecar' WHEN c.scene_id IS NOT NULL THEN 'scl' ELSE 'default' END AS report_source, round((CASE WHEN s_suppkey % 3 = 0 THEN 1.0 ELSE coalesce(confidence_score, 1.0) END)::DOUBLE, 6) AS confidence_score "
+    "CASE WHEN s_suppkey % 3 = 0 THEN 'sidecar_json' WHEN c.scene_id IS NOT NULL THEN 'scl_computed' ELSE 'none' END AS report_source, round((CASE WHEN s_suppkey % 3 = 0 THEN 1.0 ELSE coalesce(confidence_score, 1.0) END)::DOUBLE, 6) AS confidence_score "
     "FROM supplier LEFT JOIN c ON c.scene_id = s_suppkey AND s_suppkey % 5 > 0",
 )
 def _(s, d):
@@ -208,9 +216,9 @@ def _(s, d):
     return rounded(quality.scl_histogram(views.scl(s, d), ["scene_id"]))
 
 
-@query("scl_mask", f"WITH {views.SCL} SELECT scene_id, scl, scl IN (0, 1, 3, 8, 9, 10) AS bad, count(*) AS n FROM scl GROUP BY 1, 2, 3")
+@query("scl_mask", f"WITH {views.SCL} SELECT scene_id, row, col, scl, scl IN (0, 1, 3, 8, 9, 10) AS bad FROM scl")
 def _(s, d):
-    return plots.mask_frame(views.scl(s, d)).groupBy("scene_id", "scl", "bad").agg(F.count(F.lit(1)).alias("n"))
+    return plots.mask_frame(views.scl(s, d))
 
 
 _BOX = "trunc((({e}) - {o}::DOUBLE) / {p}::DOUBLE)::INT + 1"
@@ -242,9 +250,24 @@ def _(s, d):
     return rounded(quality.nearest_pixel(_xy(s, d), ["vec_id"], 19.033, 47.456))
 
 
-@query("bbox_mean", f"WITH {_XY} SELECT vec_id, round(avg(v), 6) + 0.0 AS value FROM xy WHERE x BETWEEN 19.033 - 0.025 AND 19.033 + 0.025 AND y BETWEEN 47.456 - 0.025 AND 47.456 + 0.025 GROUP BY 1")
+# Of two patches one is beside the box, which has none of its pixels; of five one has no valid pixel in it.
+_BOXED = f"{_XY}, bx AS (SELECT vec_id, row, col, CASE WHEN vec_id % 2 = 0 THEN x + 1 ELSE x END AS x, y, CASE WHEN vec_id % 5 > 0 OR row = 0 THEN v END AS v FROM xy), bm AS (SELECT vec_id, count(*) FILTER (inside) AS n, avg(v) FILTER (inside) AS mean, arg_min_null(v, abs(x - 19.033) + abs(y - 47.456)) AS near FROM (SELECT *, x BETWEEN 19.033 - 0.025 AND 19.033 + 0.025 AND y BETWEEN 47.456 - 0.025 AND 47.456 + 0.025 AS inside FROM bx) GROUP BY 1)"
+
+
+def _boxed(s, d):
+    px = _xy(s, d).withColumn("x", F.when(F.col("vec_id") % 2 == 0, F.col("x") + 1).otherwise(F.col("x")))
+    return px.withColumn("value", F.when((F.col("vec_id") % 5 > 0) | (F.col("row") == 0), F.col("value")))
+
+
+@query("bbox_mean", f"WITH {_BOXED} SELECT vec_id, round(CASE WHEN n > 0 THEN mean ELSE near END, 6) + 0.0 AS value FROM bm")
+def _(s, d):
+    return rounded(quality.bbox_mean(_boxed(s, d), ["vec_id"], 19.033, 47.456, 0.025))
+
+
+@query("grid_pixel", f"WITH {views.PATCH} SELECT vec_id, round(v, 6) + 0.0 AS value FROM patch WHERE row = 4 AND col = 3")
 def _(s, d):
-    return rounded(quality.bbox_mean(_xy(s, d), ["vec_id"], 19.033, 47.456, 0.025))
+    px = tiles.from_tiles(views.patch(s, d), ["vec_id"])
+    return rounded(quality.grid_pixel(px, 19.033, 47.456, (19.0, 47.5, 0.01, -0.01), (8, 8)).select("vec_id", "value"))
 
 
 @query("topk_scenes", "SELECT * FROM (SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey))::INT AS rank FROM orders) WHERE rank <= 3")
@@ -282,20 +305,38 @@ def _(s, d):
 # A stack behind its gates: a scene is a supplier, its bands are part numbers of its lines.
 
 
+def _scenes(s, d):
+    return views.table(s, d, "supplier").select(F.col("s_suppkey").alias("scene_id"), F.timestamp_add("DAY", F.col("s_suppkey").cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"), F.lit(64).alias("n_rows"), F.lit(64).alias("n_cols"))
+
+
 def _stack(s, d, **kw):
     li = views.table(s, d, "lineitem")
-    scenes = views.table(s, d, "supplier").select(F.col("s_suppkey").alias("scene_id"), F.timestamp_add("DAY", F.col("s_suppkey").cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"), F.lit(64).alias("n_rows"), F.lit(64).alias("n_cols"))
     band = F.when(F.col("l_linenumber") % 2 == 0, "red").otherwise("nir")
     px = li.select(F.col("l_suppkey").alias("scene_id"), band.alias("band"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), F.col("l_extendedprice").alias("value"))
-    return stack_timeseries(scenes, px, StackConfig(max_cloud=0.2, **kw), scl=views.scl(s, d))
+    return stack_timeseries(_scenes(s, d), px, StackConfig(max_cloud=0.2, **kw), scl=views.scl(s, d))
 
 
 _STACK = f"{_METRICS}, k AS (SELECT s_suppkey AS scene_id, coalesce(cloud_ratio, 0) <= 0.2 AND coalesce(snow_ratio, 0) <= 1 AND coalesce(CASE WHEN cloud_ratio > 0.2 THEN 0 ELSE confidence_score END, 1) >= 0.01 AS accepted FROM supplier LEFT JOIN c ON scene_id = s_suppkey)"
 
 
-@query("stack_timeseries", f"WITH {_STACK} SELECT l_suppkey AS scene_id, CASE WHEN l_linenumber % 2 = 0 THEN 'B04' ELSE 'B08' END AS band, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN k ON scene_id = l_suppkey AND accepted GROUP BY 1, 2")
+_KEPT = f"{_STACK}, tm AS (SELECT scene_id, (dense_rank() OVER (ORDER BY scene_id) - 1)::INT AS t_idx FROM k WHERE accepted), px AS (SELECT l_suppkey AS scene_id, CASE WHEN l_linenumber % 2 = 0 THEN 'B04' ELSE 'B08' END AS band, l_orderkey AS row, l_linenumber AS col, l_extendedprice AS value FROM lineitem)"
+_CELL = ["scene_id", "t_idx", "band", "row", "col", "value"]
+
+
+@query("stack_timeseries", f"WITH {_KEPT} SELECT scene_id, t_idx, band, row, col, value FROM px JOIN tm USING (scene_id)")
 def _(s, d):
-    return _stack(s, d, require_bands=("red", "nir")).pixels.groupBy("scene_id", "band").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return _stack(s, d, require_bands=("red", "nir")).pixels.select(*_CELL)
+
+
+@query(
+    "stack_filled",
+    f"WITH {_STACK}, tm AS (SELECT s.scene_id, accepted, (dense_rank() OVER (ORDER BY s.scene_id) - 1)::INT AS t_idx FROM k s), few AS (SELECT l_suppkey AS scene_id, l_linenumber AS col, avg(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2), own AS (SELECT f.scene_id, t_idx, col, round(value, 4) AS value FROM few f JOIN tm USING (scene_id) WHERE accepted) "
+    "SELECT scene_id, t_idx, 'B08' AS band, 0 AS row, col, value FROM own UNION ALL SELECT scene_id, t_idx, 'B08', 0, col, -1.0 FROM (SELECT DISTINCT col FROM own), (SELECT scene_id, t_idx FROM tm WHERE NOT accepted)",
+)
+def _(s, d):
+    few = views.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("scene_id"), F.col("l_linenumber").alias("col")).agg(F.avg("l_extendedprice").alias("value"))
+    px = few.select("scene_id", F.lit("nir").alias("band"), F.lit(0).alias("row"), "col", "value")
+    return rounded(stack_timeseries(_scenes(s, d), px, StackConfig(max_cloud=0.2, fill_rejected=True, nodata=-1.0), scl=views.scl(s, d)).pixels.select(*_CELL), 4)
 
 
 @query("stack_counts", f"WITH {_STACK} SELECT count(*) FILTER (accepted) AS n_accepted, count(*) FILTER (NOT accepted) AS n_rejected FROM k")
@@ -303,6 +344,195 @@ def _(s, d):
     return _stack(s, d).counts()
 
 
+# Scenes of two shapes on the grid of one of them; class layers that can't be read pass, those of wrong dimensions don't.
+_SHAPES = f"{views.PATCH}, sh AS (SELECT vec_id AS scene_id, vec_id % 3 = 0 AS small, vec_id % 10 = 7 AS wrong, vec_id % 10 = 4 AS unreadable, vec_id % 4 = 2 AS has_scl FROM embeddings), ok AS (SELECT *, (dense_rank() OVER (ORDER BY scene_id) - 1)::INT AS t_idx FROM sh WHERE NOT (wrong AND has_scl AND NOT unreadable))"
+
+
+@query(
+    "stack_aligned",
+    f"WITH {_SHAPES} SELECT scene_id, t_idx, 'B08' AS band, r::INT AS row, c::INT AS col, round(v, 6) + 0.0 AS value FROM ok JOIN patch p ON p.vec_id = scene_id, range(8) a(r), range(8) b(c) "
+    "WHERE p.row = CASE WHEN small THEN greatest(0, least(3, round((r - 0.5) / 2))) ELSE r END AND p.col = CASE WHEN small THEN greatest(0, least(3, round((c - 0.5) / 2))) ELSE c END",
+)
+def _(s, d):
+    px = tiles.from_tiles(views.patch(s, d), ["vec_id"]).withColumnRenamed("vec_id", "scene_id").withColumn("band", F.lit("nir"))
+    small = F.col("scene_id") % 3 == 0
+    px = px.where(~small | ((F.col("row") < 4) & (F.col("col") < 4)))
+    pick = lambda a, b: F.when(small, a).otherwise(b)
+    own = views.table(s, d, "embeddings").select(F.col("vec_id").alias("scene_id"))
+    own = own.select("scene_id", F.timestamp_add("DAY", F.col("scene_id").cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"), pick(4, 8).alias("n_rows"), pick(4, 8).alias("n_cols"), pick(0.5, 0.0).alias("x0"), pick(-0.5, 0.0).alias("y0"), pick(2.0, 1.0).alias("dx"), pick(-2.0, -1.0).alias("dy"))
+    # The layers have shapes of their own, which fail the check of a few.
+    side = quality.stack_metrics(
+        own.select("scene_id", F.when(F.col("scene_id") % 10 == 7, 20).otherwise(64).alias("n_rows"), F.lit(64).alias("n_cols")), own.where("scene_id % 4 = 2").select("scene_id", F.lit(4).alias("scl")), 0.3, own.where("scene_id % 10 = 4")
+    )
+    return rounded(stack_timeseries(own, px, StackConfig(reference=1), sidecars=side).pixels.select(*_CELL))
+
+
+@query("stack_log", f"WITH {_STACK} SELECT s_suppkey AS scene_id, CASE WHEN c.scene_id IS NULL THEN 'none' ELSE 'scl_computed' END AS report_source, CASE WHEN coalesce(cloud_ratio, 0) > 0.2 THEN 'cloud ' || printf('%.1f', cloud_ratio * 100) || '% > 20.0%' WHEN coalesce(CASE WHEN cloud_ratio > 0.2 THEN 0 ELSE confidence_score END, 1) < 0.01 THEN 'confidence 0.00 < 0.01' ELSE '' END AS reject_reason, k.accepted FROM supplier JOIN k ON k.scene_id = s_suppkey LEFT JOIN c ON c.scene_id = s_suppkey")
+def _(s, d):
+    path = scratch(s)
+    _stack(s, d).scenes.select("scene_id", "report_source", "reject_reason", "accepted").write.json(path)
+    return s.read.schema("scene_id bigint, report_source string, reject_reason string, accepted boolean").json(path)
+
+
+# From items to scenes.
+
+_ITEMS_SQL = f"""{views.PATCH}, it AS (SELECT vec_id AS item_id, vec_id % 7 <> 0 AS has_scl, CASE WHEN vec_id % 13 = 0 THEN 20 END AS sr, CASE WHEN vec_id % 13 = 0 THEN 64 END AS sc, CASE WHEN vec_id % 11 = 0 THEN 'cannot open' END AS err FROM embeddings),
+ly AS (SELECT l_partkey % 500 AS item_id, l_orderkey % CASE WHEN l_partkey % 500 % 17 = 0 THEN 20 ELSE 64 END AS row, l_orderkey // 64 % 64 AS col, CASE WHEN c IN (3, 8, 9, 10) AND l_partkey % 500 % 4 > 0 THEN 4 ELSE c END AS scl FROM (SELECT *, (l_orderkey * 7 + l_linenumber) % 12 AS c FROM lineitem)),
+lm AS (SELECT item_id, max(row) - min(row) + 1 AS cr, max(col) - min(col) + 1 AS cc, count(*) FILTER (scl NOT IN (0, 6)) AS valid, count(*) FILTER (scl IN (3, 8, 9, 10)) AS cloud, count(*) FILTER (scl = 11) AS snow FROM ly GROUP BY 1),
+lr AS (SELECT *, CASE WHEN valid > 0 THEN cloud / valid ELSE 0 END AS cloud_ratio, CASE WHEN valid > 0 THEN snow / valid ELSE 0 END AS snow_ratio FROM lm),
+lc AS (SELECT *, (CASE WHEN valid = 0 OR snow_ratio > 0.5 OR cloud_ratio > 0.3 THEN 0.0 WHEN cloud_ratio < 0.1 THEN 1.0 WHEN cloud_ratio < 0.3 THEN 0.75 WHEN cloud_ratio < 0.4 THEN 0.5 ELSE 0.0 END)::DOUBLE AS conf FROM lr),
+st AS (SELECT it.*, lc.* EXCLUDE (item_id), CASE WHEN NOT has_scl THEN 'none' WHEN sr IS NOT NULL AND least(sr, sc) < 32 THEN 'early' WHEN err IS NOT NULL THEN 'error'
+  WHEN least(coalesce(cr, 0), coalesce(cc, 0)) < 32 OR greatest(cr, cc) > 4.0 * least(cr, cc) THEN 'late' ELSE 'read' END AS state FROM it LEFT JOIN lc USING (item_id)),
+gt AS (SELECT *, CASE state WHEN 'none' THEN true WHEN 'error' THEN true WHEN 'read' THEN coalesce(conf, 0) >= 0.01 ELSE false END AS passed FROM st)"""
+
+
+def _items(s, d):
+    """Items, and their class layers."""
+    c = F.col
+    it = views.table(s, d, "embeddings").select(c("vec_id").alias("item_id"))
+    it = it.select("item_id", (c("item_id") % 7 != 0).alias("has_scl"), F.when(c("item_id") % 13 == 0, 20).alias("shape_rows"), F.when(c("item_id") % 13 == 0, 64).alias("shape_cols"), F.when(c("item_id") % 11 == 0, "cannot open").alias("scl_error"))
+    li = views.table(s, d, "lineitem").withColumn("item_id", c("l_partkey") % 500).withColumn("c", (c("l_orderkey") * 7 + c("l_linenumber")) % 12)
+    row = F.when(c("item_id") % 17 == 0, c("l_orderkey") % 20).otherwise(c("l_orderkey") % 64)
+    scl = F.when(c("c").isin(3, 8, 9, 10) & (c("item_id") % 4 > 0), 4).otherwise(c("c"))
+    return it, li.select("item_id", row.alias("row"), F.floor(c("l_orderkey") / 64).cast("long").alias("q"), scl.alias("scl")).withColumn("col", c("q") % 64).drop("q")
+
+
+@query(
+    "download_gate",
+    f"WITH {_ITEMS_SQL} SELECT item_id, passed, CASE WHEN state = 'none' THEN 'SCL asset missing; validation skipped' END AS warning, CASE WHEN state = 'error' THEN err END AS error, (CASE state WHEN 'early' THEN sr WHEN 'late' THEN coalesce(cr, 0) WHEN 'read' THEN cr END)::BIGINT AS rows, (CASE state WHEN 'early' THEN sc WHEN 'late' THEN coalesce(cc, 0) WHEN 'read' THEN cc END)::BIGINT AS cols, "
+    "CASE state WHEN 'early' THEN false WHEN 'late' THEN false WHEN 'read' THEN true END AS dimension_pass, CASE WHEN state IN ('early', 'late') THEN concat_ws(',', CASE WHEN state = 'early' OR least(coalesce(cr, 0), coalesce(cc, 0)) < 32 THEN 'Scene too small: side below minimum threshold' END, CASE WHEN state = 'late' AND greatest(cr, cc) > 4.0 * least(cr, cc) THEN 'Degenerate shape: aspect ratio exceeds limit' END) "
+    "WHEN state = 'read' THEN concat_ws(',', CASE WHEN valid = 0 THEN 'No valid pixels after filtering' END, CASE WHEN cloud_ratio > 0.3 THEN 'High cloud cover' END, CASE WHEN snow_ratio > 0.5 THEN 'Excessive snow/ice' END) END AS issues, "
+    "round(CASE WHEN state = 'read' THEN conf END, 6) AS confidence_score, round(CASE WHEN state = 'read' THEN cloud_ratio END, 6) AS cloud_ratio, round(CASE WHEN state = 'read' THEN snow_ratio END, 6) AS snow_ratio FROM gt",
+)
+def _(s, d):
+    it, scl = _items(s, d)
+    g = scenes.download_gate(it, scl).withColumn("issues", F.array_join("issues", ",")).withColumns({c: F.col(c).cast("long") for c in ("rows", "cols")})
+    return rounded(g.drop("water_excluded", "radiometry_pass"))
+
+
+@query(
+    "validate_files",
+    f"WITH {_ITEMS_SQL} SELECT item_id AS file, err AS error, round(CASE WHEN err IS NULL THEN coalesce(conf, 0) END, 6) AS confidence_score, round(CASE WHEN err IS NULL THEN coalesce(cloud_ratio, 0) END, 6) AS cloud_ratio, CASE WHEN err IS NULL THEN CASE WHEN conf IS NULL THEN 'No valid pixels after filtering' ELSE concat_ws(',', CASE WHEN valid = 0 THEN 'No valid pixels after filtering' END, CASE WHEN cloud_ratio > 0.3 THEN 'High cloud cover' END, CASE WHEN snow_ratio > 0.5 THEN 'Excessive snow/ice' END) END END AS issues, "
+    "CASE WHEN err IS NULL THEN true END AS radiometry_pass, err IS NULL AND coalesce(conf, 0) >= 0.5 AS passed FROM st",
+)
+def _(s, d):
+    it, scl = _items(s, d)
+    f = quality.validate_files(it.select(F.col("item_id").alias("file"), F.col("scl_error").alias("error")), scl.withColumnRenamed("item_id", "file"))
+    return rounded(f.select("file", "error", "confidence_score", "cloud_ratio", F.array_join("issues", ",").alias("issues"), "radiometry_pass", "passed"))
+
+
+def _materialised(s, d):
+    it, scl = _items(s, d)
+    px = tiles.from_tiles(views.patch(s, d), ["vec_id"]).withColumnRenamed("vec_id", "item_id")
+    fine, coarse = px.withColumn("band", F.lit("blue")), px.where((F.col("row") < 4) & (F.col("col") < 4) & (F.col("item_id") % 5 > 0)).withColumn("band", F.lit("nir"))
+    own = it.select("item_id")
+    grid = lambda band, n, o, p: own.select("item_id", F.lit(band).alias("band"), F.lit(n).alias("n_rows"), F.lit(n).alias("n_cols"), F.lit(o).alias("x0"), F.lit(-o).alias("y0"), F.lit(p).alias("dx"), F.lit(-p).alias("dy"))
+    return scenes.materialise_scenes(it, fine.unionByName(coarse), grid("blue", 8, 0.0, 1.0).unionByName(grid("nir", 4, 0.5, 2.0)), scl, scenes.SceneConfig(bands=("B02", "B08")))
+
+
+@query("scene_materialise", f"WITH {_ITEMS_SQL} SELECT item_id, band, r::INT AS row, c::INT AS col, round(v, 6) + 0.0 AS value FROM gt JOIN patch p ON p.vec_id = item_id, (VALUES ('B02'), ('B08')) b(band), range(8) x(r), range(8) y(c) WHERE passed AND (band = 'B02' OR item_id % 5 > 0) AND p.row = CASE WHEN band = 'B02' THEN r ELSE greatest(0, least(3, round((r - 0.5) / 2))) END AND p.col = CASE WHEN band = 'B02' THEN c ELSE greatest(0, least(3, round((c - 0.5) / 2))) END")
+def _(s, d):
+    return rounded(_materialised(s, d).spectral)
+
+
+@query("scene_reports", f"WITH {_ITEMS_SQL} SELECT item_id, passed, CASE WHEN item_id % 5 = 0 THEN 'B08' ELSE '' END AS missing, passed AS written FROM gt")
+def _(s, d):
+    return _materialised(s, d).reports.select("item_id", "passed", F.array_join("missing", ",").alias("missing"), "written")
+
+
+@query(
+    "sharpen_step",
+    f"WITH {views.PATCH}, g AS (SELECT vec_id, r, k, r * 3 / 7.0 AS y, k * 3 / 7.0 AS x FROM (SELECT DISTINCT vec_id FROM patch WHERE vec_id % 2 = 0), range(8) a(r), range(8) b(k)), lo AS (SELECT * FROM patch WHERE row < 4 AND col < 4), "
+    "up AS (SELECT g.vec_id, g.r AS row, g.k AS col, sum(v * (CASE WHEN p.row = floor(y) THEN 1 - (y - floor(y)) ELSE y - floor(y) END) * (CASE WHEN p.col = floor(x) THEN 1 - (x - floor(x)) ELSE x - floor(x) END)) AS u FROM g JOIN lo p ON p.vec_id = g.vec_id AND p.row - floor(y) IN (0, 1) AND p.col - floor(x) IN (0, 1) GROUP BY 1, 2, 3), "
+    "bd AS (SELECT up.vec_id, up.row, up.col, u + 1 AS b1, u * 2 AS b2, abs(v) AS pan FROM up JOIN patch p USING (vec_id, row, col)), sy AS (SELECT *, (b1 + b2) / 2 AS syn FROM bd), mo AS (SELECT *, (pan - avg(pan) OVER w) / sqrt(var_pop(pan) OVER w + 1e-12) * sqrt(var_pop(syn) OVER w + 1e-12) + avg(syn) OVER w - syn AS more FROM sy WINDOW w AS (PARTITION BY vec_id)), "
+    "sp AS (SELECT vec_id, row, col, b1 + sum(b1 * syn) OVER w / (sum(syn * syn) OVER w + 1e-12) * more AS b1, b2 + sum(b2 * syn) OVER w / (sum(syn * syn) OVER w + 1e-12) * more AS b2 FROM mo WINDOW w AS (PARTITION BY vec_id)) "
+    "SELECT vec_id AS item_id, 'b1' AS band, row::INT AS row, col::INT AS col, round(b1, 5) + 0.0 AS value FROM sp UNION ALL SELECT vec_id, 'b2', row::INT, col::INT, round(b2, 5) + 0.0 FROM sp UNION ALL SELECT vec_id, b, row::INT, col::INT, round(CASE b WHEN 'b1' THEN v + 1 ELSE v * 2 END, 5) + 0.0 FROM lo, (VALUES ('b1'), ('b2')) t(b) WHERE vec_id % 2 > 0",
+)
+def _(s, d):
+    px = tiles.from_tiles(views.patch(s, d), ["vec_id"]).withColumnRenamed("vec_id", "item_id")
+    low = px.where((F.col("row") < 4) & (F.col("col") < 4))
+    ms = low.withColumn("band", F.lit("b1")).withColumn("value", F.col("value") + 1).unionByName(low.withColumn("band", F.lit("b2")).withColumn("value", F.col("value") * 2))
+    pan = px.where("item_id % 2 = 0").withColumn("value", F.abs("value"))
+    return rounded(scenes.sharpen_step(ms, pan, ["b1", "b2"], (4, 4), (8, 8)), 5)
+
+
+_NOISE = "sqrt(-2 * ln({u})) * cos(2 * pi() * {v})"
+_HASH = "((('0x' || substr(md5('{k}|{b}|' || t || '|' || r || '|' || c), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+_N = {b: _NOISE.format(u=_HASH.format(k="a", b=b), v=_HASH.format(k="b", b=b)) for b in ("ndvi", "evi")}
+
+
+@query(
+    "synthetic_stack",
+    f"WITH n AS (SELECT t, r, c, greatest(0.05, least(0.9, 0.3 + 0.45 * sin(pi() * (t % 12) / 11) ** 2 + 0.03 * {_N['ndvi']})) AS ndvi FROM range(24) x(t), range(32) y(r), range(32) z(c)), e AS (SELECT *, greatest(0.02, least(0.7, ndvi * 0.8 + 0.02 * {_N['evi']})) AS evi FROM n) "
+    "SELECT t::INT AS t_idx, strftime(make_date(2023 + t // 12, t % 12 + 1, 1), '%Y-%m-%d') AS day, band, r::INT AS row, c::INT AS col, round(19.0 + 0.1 * c / 31, 6) AS x, round(47.44 + 0.1 * r / 31, 6) AS y, CASE WHEN t NOT IN (4, 10, 16) THEN round(CASE band WHEN 'ndvi' THEN ndvi ELSE evi END, 6) END AS value FROM e, (VALUES ('ndvi'), ('evi')) b(band)",
+)
+def _(s, d):
+    st = synthetic.synthetic_stack(s)
+    return rounded(st.select("t_idx", F.date_format("ts", "yyyy-MM-dd").alias("day"), "band", "row", "col", "x", "y", "value"))
+
+
+# What is written is read again.
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: in ``spark.checkpoint.dir``, or, where that is unset and everything runs here, a temporary one."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        known = f"file://{tempfile.gettempdir()}/terraframe-scratch"
+    return f"{known.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@query("sink_pixels", f"WITH {_LONG} SELECT l_orderkey AS row, l_linenumber AS col, CASE name WHEN 'red' THEN 'B04' ELSE 'B08' END AS band, coalesce(CASE WHEN l_linenumber <> 3 THEN round(value, 6) + 0.0 END, -9999.0) AS value FROM long WHERE name IN ('red', 'nir')")
+def _(s, d):
+    px = store.canonical(_long(s, d)).select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), "band", F.when(F.col("l_linenumber") != 3, F.col("value")).alias("value"))
+    path = scratch(s)
+    store.write_pixels(px, path, nodata=True)
+    back = store.read_pixels(s, path)
+    order = ["B02", "B03", "B04", "B08"]
+    return rounded(store.pick_band(back, "red", order).unionByName(store.pick_band(back, "3", order)).select("row", "col", "band", "value"))
+
+
+@query("sink_indices", f"WITH {views.WIDE} SELECT l_orderkey, l_linenumber, 'ndvi' AS index, round({INDEX_SQL['ndvi']}::FLOAT::DOUBLE, 5) + 0.0 AS value FROM wide UNION ALL SELECT l_orderkey, l_linenumber, 'nbr', round({INDEX_SQL['nbr']}::FLOAT::DOUBLE, 5) + 0.0 FROM wide")
+def _(s, d):
+    long = store.indices_long(spectral.compute_indices(views.wide(s, d), ["ndvi", "nbr"]), PIXEL, ["ndvi", "nbr"])
+    path = scratch(s)
+    store.write_by(long, path, "index")
+    store.write_by(long.withColumn("value", F.lit(0.0).cast("float")), path, "index", overwrite=False)  # what is there stays
+    back = s.read.parquet(path)
+    return rounded(back.select(*PIXEL, F.col("index").cast("string").alias("index"), F.col("value").cast("double").alias("value")), 5)
+
+
+@query("sink_stats", f"WITH {_LONG} SELECT name AS band, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, count(value) AS n_pixels FROM long GROUP BY 1")
+def _(s, d):
+    path = scratch(s)
+    store.save_stats(stats.dataset_stats(_long(s, d)), path)
+    return rounded(store.load_stats(s, path))
+
+
+@query("sink_stack", f"WITH {_KEPT} SELECT band, row, col, scene_id, t_idx, value FROM px JOIN tm USING (scene_id) WHERE band = 'B04'")
+def _(s, d):
+    path = scratch(s)
+    _stack(s, d, save_dir=path)
+    return store.read_pixels(s, f"{path}/pixels", ["red"]).select(*_CELL)
+
+
+@query("registries", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {i}, '{n}')" for k, names in (
+    ("index", "arvi cig evi mndwi nbr ndbi ndsi ndvi ndwi savi"), ("filter", "bilateral close convolve dilate erode gaussian laplacian median open sobel_direction sobel_magnitude top_hat_black top_hat_white unsharp_mask"), ("preset", "sentinel2_all sentinel2_rgb sentinel2_rgbn"),
+    ("ALL", "blue green red nir rededge1 rededge2 rededge3 nir08 swir16 swir22"), ("TECHNICAL", "scl aot wvp"),
+) for i, n in enumerate(names.split())) + ") r(kind, position, name)")
+def _(s, d):
+    groups = (("index", spectral.AVAILABLE_INDICES), ("filter", filters.AVAILABLE_FILTERS), ("preset", scaling.AVAILABLE_PRESETS), ("ALL", bands.ALL), ("TECHNICAL", bands.TECHNICAL))
+    return s.createDataFrame([(k, i, n) for k, names in groups for i, n in enumerate(names)], "kind string, position int, name string")
+
+
+@query("tile_grid_shapes", "SELECT p_partkey, (a * b)::INT AS n, a::INT AS grid_rows, b::INT AS grid_cols FROM (SELECT p_partkey, CASE WHEN r <= 256 THEN 1 ELSE ceil((r - 256) / 224) + 1 END AS a, CASE WHEN c <= 256 THEN 1 ELSE ceil((c - 256) / 224) + 1 END AS b FROM (SELECT p_partkey, (p_partkey * 37) % 12000 + 1 AS r, p_size * 11 AS c FROM part))")
+def _(s, d):
+    p = views.table(s, d, "part").select("p_partkey", grids.tile_grid_columns(F.col("p_partkey") * 37 % 12000 + 1, F.col("p_size") * 11).alias("g"))
+    return p.select("p_partkey", "g.*")
+
+
 # Statistics of pixels over time.
 
 P = ["pixel"]
@@ -479,7 +709,7 @@ def _fill(method):
     return lambda s, d: rounded(gapfill.unfold(gapfill.interpolate_gaps(_series(s, d), method, 5), U), 4)
 
 
-_HALF = f"h AS (SELECT *, least(2, t, {views.TIMES - 1} - t) AS half FROM lin), w AS (SELECT a.user_id, a.t, a.v, a.half, b.t - a.t AS k, b.f FROM h a JOIN lin b ON b.user_id = a.user_id AND abs(b.t - a.t) <= a.half)"
+_HALF = f"h AS (SELECT *, least(2, t, {views.LAST} - t) AS half FROM lin), w AS (SELECT a.user_id, a.t, a.v, a.half, b.t - a.t AS k, b.f FROM h a JOIN lin b ON b.user_id = a.user_id AND abs(b.t - a.t) <= a.half)"
 
 query("fill_linear", f"WITH {views.SERIES} SELECT user_id, t, round(f, 4) + 0.0 AS value FROM lin")(lambda s, d: rounded(gapfill.fill_linear(views.series(s, d), U, "t", "v", "value").select("user_id", F.col("t"), "value"), 4))
 query("fill_linear_series", f"WITH {views.SERIES} SELECT user_id, t AS t_idx, round(f, 4) + 0.0 AS value FROM lin")(_fill("linear"))
@@ -497,7 +727,7 @@ def _(s, d):
     return stats.fill_report(gapfill.fill_linear(views.series(s, d), U, "t", "v"), U, "v", "filled")
 
 
-_SMOOTH = f"""sw AS (SELECT a.user_id, a.t, a.v, b.t - a.t AS k, b.v AS y FROM series a JOIN series b ON b.user_id = a.user_id AND abs(b.t - a.t) <= least(2, a.t, {views.TIMES - 1} - a.t) WHERE a.v IS NOT NULL AND b.v IS NOT NULL),
+_SMOOTH = f"""sw AS (SELECT a.user_id, a.t, a.v, b.t - a.t AS k, b.v AS y FROM series a JOIN series b ON b.user_id = a.user_id AND abs(b.t - a.t) <= least(2, a.t, {views.LAST} - a.t) WHERE a.v IS NOT NULL AND b.v IS NOT NULL),
 sm AS (SELECT user_id, t, any_value(v) AS v, count(*)::DOUBLE AS s0, sum(k)::DOUBLE AS s1, sum(k * k)::DOUBLE AS s2, sum(k ** 3)::DOUBLE AS s3, sum(k ** 4)::DOUBLE AS s4, sum(y) AS y0, sum(k * y) AS y1, sum(k * k * y) AS y2 FROM sw GROUP BY 1, 2),
 dt AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM sm),
 smo AS (SELECT s.user_id, s.t, CASE WHEN abs(det) < 1e-12 THEN d.v ELSE (y0 * (s2 * s4 - s3 * s3) - s1 * (y1 * s4 - s3 * y2) + s2 * (y1 * s3 - s2 * y2)) / det END AS v FROM series s LEFT JOIN dt d USING (user_id, t))"""

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-TIMES = 30
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,10 +44,10 @@ def scl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scene_id, scl): classes of a scene's pixels; scenes differ in how cloudy they are."""
     li = table(spark, sf_dir, "lineitem")
     c = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 12
-    return li.select(F.col("l_suppkey").alias("scene_id"), F.when((c.isin(3, 8, 9, 10)) & (F.col("l_suppkey") % 4 > 0) & (F.col("l_orderkey") % (F.col("l_suppkey") % 4 + 1) > 0), 4).otherwise(c).cast("int").alias("scl"))
+    return li.select(F.col("l_suppkey").alias("scene_id"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), F.when((c.isin(3, 8, 9, 10)) & (F.col("l_suppkey") % 4 > 0) & (F.col("l_orderkey") % (F.col("l_suppkey") % 4 + 1) > 0), 4).otherwise(c).cast("int").alias("scl"))
 
 
-SCL = """scl AS (SELECT l_suppkey AS scene_id, (CASE WHEN c IN (3, 8, 9, 10) AND l_suppkey % 4 > 0 AND l_orderkey % (l_suppkey % 4 + 1) > 0 THEN 4 ELSE c END)::INT AS scl
+SCL = """scl AS (SELECT l_suppkey AS scene_id, l_orderkey AS row, l_linenumber AS col, (CASE WHEN c IN (3, 8, 9, 10) AND l_suppkey % 4 > 0 AND l_orderkey % (l_suppkey % 4 + 1) > 0 THEN 4 ELSE c END)::INT AS scl
   FROM (SELECT *, (l_orderkey * 7 + l_linenumber) % 12 AS c FROM lineitem))"""
 
 
@@ -70,16 +68,20 @@ def neighbours(radius: int) -> str:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, t, v): daily sums of a user's events over 30 days; a day without any is a gap."""
+    """(user_id, t, v): daily sums of a user's events over all days; a day without any is a gap."""
     e = table(spark, sf_dir, "events")
-    first = e.agg(F.to_date(F.min("ts")).alias("d0"))  # one row
-    daily = e.crossJoin(F.broadcast(first)).groupBy("user_id", F.datediff("ts", "d0").alias("t")).agg(F.sum("value").alias("v"))
-    grid = daily.select("user_id").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(TIMES - 1))))
+    span = e.agg(F.to_date(F.min("ts")).alias("d0"), F.datediff(F.max("ts"), F.min("ts")).alias("days"))  # one row
+    daily = e.crossJoin(F.broadcast(span)).groupBy("user_id", F.datediff("ts", "d0").alias("t")).agg(F.sum("value").alias("v"))
+    users = daily.select("user_id").distinct().crossJoin(F.broadcast(span))
+    grid = users.select("user_id", F.explode(F.sequence(F.lit(0), F.col("days"))).alias("t"))
     return grid.join(daily, ["user_id", "t"], "left")
 
 
-SERIES = f"""daily AS (SELECT user_id, date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) AS t, sum(value) AS v FROM events GROUP BY 1, 2),
-series AS (SELECT g.user_id, g.t, d.v FROM (SELECT user_id, t FROM (SELECT DISTINCT user_id FROM daily), range({TIMES}) r(t)) g LEFT JOIN daily d USING (user_id, t)),
+#: The last day, in SQL over ``series``.
+LAST = "(SELECT max(t) FROM series)"
+SERIES = """daily AS (SELECT user_id, date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) AS t, sum(value) AS v FROM events GROUP BY 1, 2),
+days AS (SELECT unnest(range(0, max(t) + 1)) AS t FROM daily),
+series AS (SELECT g.user_id, g.t, d.v FROM (SELECT user_id, t FROM (SELECT DISTINCT user_id FROM daily), days) g LEFT JOIN daily d USING (user_id, t)),
 nx AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN t END) OVER (PARTITION BY user_id ORDER BY t) AS ta,
               min(CASE WHEN v IS NOT NULL THEN t END) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tb FROM series),
 lin AS (SELECT n.user_id, n.t, n.v, coalesce(n.v, a.v + (n.t - n.ta) / (n.tb - n.ta)::DOUBLE * (b.v - a.v), a.v, b.v) AS f

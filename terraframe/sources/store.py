@@ -34,6 +34,20 @@ def select_bands(df: DataFrame, wanted: list[str], band: str = "band") -> DataFr
     return canonical(df.where(F.col(band).isin(*spelled)), band)
 
 
+def pick_band(df: DataFrame, which: str | int | None, order: list[str], band: str = "band") -> DataFrame:
+    """One band of several: by any of its names, by its number in ``order`` (also as text), or the only one."""
+    if which is None:
+        if len(order) != 1:
+            raise ValueError(f"which of {order}?")
+        return select_bands(df, order, band)
+    if isinstance(which, str) and (which in order or which in ALIASES):
+        return select_bands(df, [which], band)
+    try:
+        return select_bands(df, [order[int(which)]], band)
+    except (ValueError, IndexError) as exc:
+        raise ValueError(f"no band {which!r} in {order}") from exc
+
+
 def wide(df: DataFrame, keys: list[str], bands: list[str], band: str = "band", value: str = "value") -> DataFrame:
     """One column for each band: pixels joined on their position by one aggregation."""
     return df.groupBy(*keys).pivot(band, bands).agg(F.first(value))
@@ -82,4 +96,8 @@ def save_stats(stats: DataFrame, path: str) -> None:
 
 
 def load_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Statistics that were saved; a path that does not exist raises FileNotFoundError."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise FileNotFoundError(path)
     return spark.read.schema(STATS).json(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -31,7 +33,8 @@ def append_accepted(scenes: DataFrame, pixels: DataFrame, path: str, cfg: StackC
     """Gate each batch of new scenes and append the pixels of those accepted; a batch that is repeated replaces itself."""
 
     def one(batch: DataFrame, number: int) -> None:
-        stack = stack_timeseries(batch, pixels.join(batch.select("scene_id"), "scene_id", "left_semi"), cfg, scl=scl)
+        # A batch may hold no scene that passes.
+        stack = stack_timeseries(batch, pixels.join(batch.select("scene_id"), "scene_id", "left_semi"), replace(cfg, require_accepted=False, align=cfg.align and cfg.reference is not None), scl=scl)
         stack.pixels.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return scenes.writeStream.foreachBatch(one)

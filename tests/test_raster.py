@@ -51,7 +51,7 @@ def test_scaling_rules(spark):
 
 
 def test_quality_ladders(spark):
-    sides = [(32, 32, ""), (31, 32, "too small"), (10980, 10980, ""), (10981, 10980, "too large"), (512, 128, ""), (513, 128, "Degenerate"), (20, 100, "too small,Degenerate")]
+    sides = [(32, 32, ""), (31, 32, quality.TOO_SMALL), (10980, 10980, ""), (10981, 10980, quality.TOO_LARGE), (512, 128, ""), (513, 128, quality.DEGENERATE), (20, 100, f"{quality.TOO_SMALL},{quality.DEGENERATE}"), (0, 100, quality.TOO_SMALL)]
     df = spark.createDataFrame(sides, "n_rows int, n_cols int, want string")
     assert all(",".join(x["issues"]) == x["want"] and x["dimension_pass"] == (x["want"] == "") for x in quality.check_dimensions(df).collect())
     rows = []
@@ -61,7 +61,7 @@ def test_quality_ladders(spark):
     got = {x["scene_id"]: x for x in quality.validate_scl(df, ["scene_id"]).collect()}
     assert [got[k]["confidence_score"] for k in range(5)] == [1.0, 0.75, 0.0, 0.0, 0.0]
     assert {x["scene_id"]: x["confidence_score"] for x in quality.validate_scl(df, ["scene_id"], threshold=0.5).collect()}[2] == 0.5
-    assert got[4]["issues"] == ["no valid pixels"] and got[3]["issues"] == ["snow"] and got[1]["water_excluded"] == 10
+    assert got[4]["issues"] == ["No valid pixels after filtering"] and got[3]["issues"] == ["Excessive snow/ice"] and got[2]["issues"] == ["High cloud cover"] and got[1]["n_excluded"] == 10 and got[1]["water_excluded"] is True
     px = spark.createDataFrame([(0, 20000.0 if k < 10 else 1.0) for k in range(1000)] + [(1, 20000.0 if k < 9 else 1.0) for k in range(1000)] + [(2, None)], "s int, value double")
     assert {x["s"]: x["radiometry_pass"] for x in quality.check_radiometry(px, ["s"]).collect()} == {0: False, 1: True, 2: False}
     h = quality.scl_histogram(spark.createDataFrame([(1, 8), (1, 4), (1, 99), (1, 4)], "s int, scl int"), ["s"]).collect()
@@ -309,12 +309,12 @@ def test_sources_and_stack(spark, tmp_path):
     reports = store.parse_reports(side, "text").select("scene_id", "report.*")
     stack = stack_timeseries(scenes, px, StackConfig(fill_rejected=True), sidecars=reports, scl=scl)
     state = {r["scene_id"]: (r["accepted"], r["report_source"], r["reject_reason"]) for r in stack.scenes.collect()}
-    assert state["s2"] == (True, "sidecar", "") and state["s3"] == (False, "scl", "cloud 50.0% > 30.0%") and state["s1"][0]
+    assert state["s2"] == (True, "sidecar_json", "") and state["s3"] == (False, "scl_computed", "cloud 50.0% > 30.0%") and state["s1"][0]
     got = sorted((r["t_idx"], r["scene_id"], r["band"], r["value"]) for r in stack.pixels.where("value IS NOT NULL").collect())
     assert got == [(0, "s2", "B04", 2.0), (1, "s1", "B04", 1.0)]
     assert stack.pixels.where("scene_id = 's3' AND value IS NULL").count() == 2
     need = stack_timeseries(scenes, px, StackConfig(require_bands=("nir",)))
-    assert {r["scene_id"]: r["reject_reason"] for r in need.scenes.collect()} == {"s1": "", "s2": "missing bands: B08", "s3": "missing bands: B08"}
+    assert {r["scene_id"]: r["reject_reason"] for r in need.scenes.collect()} == {"s1": "", "s2": "missing bands: ['B08']", "s3": "missing bands: ['B08']"}
     assert one(need.counts())["n_rejected"] == 2 and need.summary().count() == 3
     need.save(str(tmp_path / "stack"), "ts")
     with pytest.raises(ValueError):
