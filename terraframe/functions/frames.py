@@ -50,7 +50,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[f
 
     Approximate percentiles bracket each exact one; only values inside a bracket, a few ten-thousandths of all, are
     counted one by one. Groups of few values have everything as their bracket. NULLs don't count."""
-    valid = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("value"))
+    named, keys = keys, [f"key_{i}" for i in range(len(keys))]
+    valid = df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(named, keys)], F.col(value).cast("double").alias("value"))
     p = [x for s in shares for x in (max(0.0, s - 4 / ACCURACY), min(1.0, s + 4 / ACCURACY))]
     wide = valid.groupBy(*keys).agg(F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.percentile_approx("value", p, ACCURACY).alias("q"))
     few = F.col("n") < 20 * ACCURACY
@@ -71,4 +72,5 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[f
     pick = lambda more: F.min(F.when(F.col("upto") > F.col("rank") + more, F.col("value")))
     each = near.groupBy(*keys, "k", "part").agg(pick(0).alias("a"), pick(1).alias("b"))
     found = each.select(*keys, F.struct("k", F.when(F.col("part") > 0, F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).otherwise(F.col("a")).alias("v")).alias("s"))
-    return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["v"]).alias(out))
+    listed = found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["v"]).alias("listed"))
+    return listed.select(*[F.col(n).alias(k) for k, n in zip(named, keys)], F.col("listed").alias(out))

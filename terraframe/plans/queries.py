@@ -635,14 +635,51 @@ def _(s, d):
     return rounded(e.crossJoin(F.broadcast(first)).select("event_id", stats.days_between(F.col("ts"), F.col("t0")).alias("day")))
 
 
-@query("principal_components")
+_THREE = ("red", "nir", "green")
+# The 3 x 3 covariance, its inverse by cofactors, and its eigenvalues by the angle of the cubic.
+_COV = f"{views.WIDE}, mn AS (SELECT {', '.join(f'avg({b}) AS m_{b}' for b in _THREE)} FROM wide), ct AS (SELECT l_orderkey, l_linenumber, {', '.join(f'{b} - m_{b} AS x{i}' for i, b in enumerate(_THREE))} FROM wide, mn), cv AS (SELECT {', '.join(f'sum(x{i} * x{j}) / (count(*) - 1) AS c{i}{j}' for i in range(3) for j in range(3))} FROM ct)"
+_COFACTOR = lambda i, j: f"(c{(i + 1) % 3}{(j + 1) % 3} * c{(i + 2) % 3}{(j + 2) % 3} - c{(i + 1) % 3}{(j + 2) % 3} * c{(i + 2) % 3}{(j + 1) % 3})"
+
+
+@query(
+    "mahalanobis",
+    f"WITH {_COV}, iv AS (SELECT {', '.join(f'{_COFACTOR(j, i)} / det AS i{i}{j}' for i in range(3) for j in range(3))} FROM (SELECT *, {' + '.join(f'c0{j} * {_COFACTOR(0, j)}' for j in range(3))} AS det FROM cv)) "
+    f"SELECT l_orderkey, l_linenumber, round(sqrt(greatest(0, {' + '.join(f'i{i}{j} * x{i} * x{j}' for i in range(3) for j in range(3))})), 4) AS mahalanobis FROM ct, iv",
+)
+def _(s, d):
+    return rounded(stats.mahalanobis(views.wide(s, d).select(*PIXEL, *_THREE), list(_THREE)).select(*PIXEL, "mahalanobis"), 4)
+
+
+def _vector(k: int) -> str:
+    """An eigenvector: the longest of the cross products of two rows of C - lambda I, of length 1, its largest part positive."""
+    m = lambda i, j: f"(c{i}{j} - l{k})" if i == j else f"c{i}{j}"
+    cross = lambda a, b: [f"({m(a, (i + 1) % 3)} * {m(b, (i + 2) % 3)} - {m(a, (i + 2) % 3)} * {m(b, (i + 1) % 3)})" for i in range(3)]
+    rows = " UNION ALL ".join("SELECT " + ", ".join(f"{e} AS w{i}" for i, e in enumerate(cross(a, b))) + " FROM ev" for a, b in ((0, 1), (0, 2), (1, 2)))
+    best = f"SELECT * FROM ({rows}) ORDER BY w0 * w0 + w1 * w1 + w2 * w2 DESC LIMIT 1"
+    sign = "CASE WHEN abs(w0) >= greatest(abs(w1), abs(w2)) THEN sign(w0) WHEN abs(w1) >= abs(w2) THEN sign(w1) ELSE sign(w2) END"
+    return "(SELECT " + ", ".join(f"w{i} * {sign} / sqrt(w0 * w0 + w1 * w1 + w2 * w2) AS v{k}{i}" for i in range(3)) + f" FROM ({best}))"
+
+
+@query(
+    "principal_components",
+    f"WITH {_COV}, q AS (SELECT *, (c00 + c11 + c22) / 3 AS q FROM cv), p AS (SELECT *, sqrt(((c00 - q) ** 2 + (c11 - q) ** 2 + (c22 - q) ** 2 + 2 * (c01 * c01 + c02 * c02 + c12 * c12)) / 6) AS p FROM q), "
+    "h AS (SELECT *, acos(greatest(-1, least(1, ((c00 - q) * ((c11 - q) * (c22 - q) - c12 * c12) - c01 * (c01 * (c22 - q) - c12 * c02) + c02 * (c01 * c12 - (c11 - q) * c02)) / (2 * p ** 3)))) / 3 AS h FROM p), "
+    f"ev AS (SELECT *, q + 2 * p * cos(h) AS l1, 3 * q - (q + 2 * p * cos(h)) - (q + 2 * p * cos(h + 2 * pi() / 3)) AS l2 FROM h), v1 AS {_vector(1)}, v2 AS {_vector(2)} "
+    "SELECT l_orderkey, l_linenumber, round(x0 * v10 + x1 * v11 + x2 * v12, 4) + 0.0 AS pc1, round(x0 * v20 + x1 * v21 + x2 * v22, 4) + 0.0 AS pc2 FROM ct, v1, v2",
+)
 def _(s, d):
-    return rounded(stats.principal_components(views.wide(s, d).select(*PIXEL, "red", "nir", "green"), ["red", "nir", "green"], 2).select(*PIXEL, "pc1", "pc2"), 4)
+    return rounded(stats.principal_components(views.wide(s, d).select(*PIXEL, *_THREE), list(_THREE), 2).select(*PIXEL, "pc1", "pc2"), 4)
 
 
-@query("mahalanobis")
+@query(
+    "regression_on",
+    f"WITH {views.OBS}, x AS (SELECT day, avg(u) AS x FROM obs WHERE day % 3 <> 1 GROUP BY 1), j AS (SELECT pixel, v, x FROM obs LEFT JOIN x USING (day)), g AS (SELECT pixel, count(v) FILTER (x IS NOT NULL) AS n, avg(x) FILTER (v IS NOT NULL) AS mx, avg(v) FILTER (x IS NOT NULL) AS my, covar_pop(v, x) AS c, var_pop(x) FILTER (v IS NOT NULL) AS vx, var_pop(v) FILTER (x IS NOT NULL) AS vy FROM j GROUP BY 1) "
+    "SELECT p.pixel, CASE WHEN n >= 2 THEN round(CASE WHEN vx < 1e-12 THEN 0 ELSE c / vx END, 2) + 0.0 END AS slope, CASE WHEN n >= 2 THEN round(CASE WHEN vx < 1e-12 OR n * vy < 1e-12 THEN 0 ELSE greatest(0, least(1, c * c / (vx * vy))) END, 6) + 0.0 END AS r2 FROM (SELECT DISTINCT pixel FROM j WHERE x IS NOT NULL) p JOIN g USING (pixel)",
+)
 def _(s, d):
-    return rounded(stats.mahalanobis(views.wide(s, d).select(*PIXEL, "red", "nir", "green"), ["red", "nir", "green"]).select(*PIXEL, "mahalanobis"), 4)
+    o = _obs(s, d)
+    known = o.where("day % 3 <> 1").groupBy("day").agg(F.avg("u").alias("x"))
+    return rounded(stats.regression_on(o, P, known, "day", "x", "v").select("pixel", "slope", "r2")).withColumn("slope", F.round("slope", 2))
 
 
 # Trends.
@@ -718,8 +755,33 @@ query(
     f"WITH {views.SERIES}, {_HALF} SELECT user_id, t AS t_idx, round(coalesce(any_value(v), CASE WHEN any_value(half) = 0 THEN sum(f) ELSE (sum(f) * sum(k ** 4) - sum(k * k * f) * sum(k * k)) / (count(*) * sum(k ** 4) - sum(k * k) * sum(k * k)) END), 4) + 0.0 AS value FROM w GROUP BY user_id, t",
 )(_fill("savgol"))
 query("fill_gauss", f"WITH {views.SERIES}, {_HALF} SELECT user_id, t AS t_idx, round(coalesce(any_value(v), sum(f * exp(-0.5 * (k / 1.25) ** 2)) / sum(exp(-0.5 * (k / 1.25) ** 2))), 4) + 0.0 AS value FROM w GROUP BY user_id, t")(_fill("gauss"))
-query("fill_pchip")(_fill("pchip"))
-query("fill_ets")(_fill("ets"))
+_KNOWN = "known AS (SELECT user_id, t, v, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM series WHERE v IS NOT NULL), seg AS (SELECT a.user_id, a.k, a.n, a.t AS t0, a.v AS v0, b.t AS t1, b.v AS v1, (b.t - a.t)::DOUBLE AS h, (b.v - a.v) / (b.t - a.t) AS s FROM known a JOIN known b ON b.user_id = a.user_id AND b.k = a.k + 1)"
+
+
+def _limited(x: str, y: str) -> str:
+    """The limiter of one segment: its slopes (x, y) by its secant s."""
+    tau = f"(({x} / s) ** 2 + ({y} / s) ** 2)"
+    return ", ".join(f"CASE WHEN abs(s) < 1e-14 THEN 0 WHEN {tau} > 9 THEN 3 * {e} / sqrt({tau}) ELSE {e} END AS {o}" for e, o in ((x, "x"), (y, "y")))
+
+
+query(
+    "fill_pchip",
+    f"WITH RECURSIVE {views.SERIES}, {_KNOWN}, rd AS (SELECT user_id, k, n, s AS d FROM seg WHERE k = 0 UNION ALL SELECT r.user_id, q.k, r.n, ((2 * q.h + p.h) * r.d + (q.h + 2 * p.h) * q.s) / (3 * q.h + 3 * p.h) FROM rd r JOIN seg q ON q.user_id = r.user_id AND q.k = r.k + 1 JOIN seg p ON p.user_id = r.user_id AND p.k = r.k), "
+    f"d0 AS (SELECT user_id, k, d FROM rd UNION ALL SELECT user_id, k + 1, s FROM seg WHERE k = n - 2), fl AS (SELECT user_id, k, {_limited('d', 'e')} FROM (SELECT g.user_id, g.k, g.s, a.d AS d, b.d AS e FROM seg g JOIN d0 a ON a.user_id = g.user_id AND a.k = 0 JOIN d0 b ON b.user_id = g.user_id AND b.k = 1 WHERE g.k = 0) "
+    f"UNION ALL SELECT user_id, k, {_limited('d', 'e')} FROM (SELECT g.user_id, g.k, g.s, f.y AS d, b.d AS e FROM fl f JOIN seg g ON g.user_id = f.user_id AND g.k = f.k + 1 JOIN d0 b ON b.user_id = f.user_id AND b.k = f.k + 2)), "
+    "hs AS (SELECT g.*, f.x AS da, coalesce(f2.x, f.y) AS db FROM seg g JOIN fl f ON f.user_id = g.user_id AND f.k = g.k LEFT JOIN fl f2 ON f2.user_id = g.user_id AND f2.k = g.k + 1), "
+    "cu AS (SELECT l.user_id, l.t, l.v, l.f, (l.t - t0) / h AS u, hs.* EXCLUDE (user_id) FROM lin l LEFT JOIN hs ON hs.user_id = l.user_id AND l.t > t0 AND l.t < t1) "
+    "SELECT user_id, t AS t_idx, round(coalesce(v, (2 * u ** 3 - 3 * u ** 2 + 1) * v0 + (u ** 3 - 2 * u ** 2 + u) * h * da + (3 * u ** 2 - 2 * u ** 3) * v1 + (u ** 3 - u ** 2) * h * db, f), 4) + 0.0 AS value FROM cu",
+)(_fill("pchip"))
+query(
+    "fill_ets",
+    f"WITH RECURSIVE {views.SERIES}, {_KNOWN}, first AS (SELECT user_id, n, v0, (v1 - v0) / greatest(t1 - t0, 1) AS trend FROM seg WHERE k = 0 AND n > 2), ab AS (SELECT * FROM (VALUES {', '.join(f'({a!r}::DOUBLE)' for a in gapfill.ALPHAS)}) x(a), (VALUES {', '.join(f'({b!r}::DOUBLE)' for b in gapfill.BETAS)}) y(b)), "
+    "es AS (SELECT user_id, a, b, 0::BIGINT AS k, v0 AS level, trend, 0::DOUBLE AS err FROM first, ab UNION ALL SELECT e.user_id, a, b, w.k, a * w.v + (1 - a) * (level + trend), b * (a * w.v + (1 - a) * (level + trend) - level) + (1 - b) * trend, err + (w.v - (a * w.v + (1 - a) * (level + trend))) ** 2 FROM es e JOIN known w ON w.user_id = e.user_id AND w.k = e.k + 1), "
+    "best AS (SELECT user_id, a, b FROM es JOIN first USING (user_id) WHERE k = n - 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY err, a, b) = 1), "
+    "st AS (SELECT s.user_id, s.t, a, b, v0 AS level, f.trend, s.v, s.v IS NOT NULL AS seen FROM series s JOIN first f USING (user_id) JOIN best USING (user_id) WHERE s.t = 0 "
+    "UNION ALL SELECT z.user_id, s.t, a, b, CASE WHEN s.v IS NOT NULL AND seen THEN a * s.v + (1 - a) * (level + trend) ELSE level END, CASE WHEN s.v IS NOT NULL AND seen THEN b * (a * s.v + (1 - a) * (level + trend) - level) + (1 - b) * trend ELSE trend END, s.v, seen OR s.v IS NOT NULL FROM st z JOIN series s ON s.user_id = z.user_id AND s.t = z.t + 1) "
+    "SELECT user_id, t AS t_idx, round(coalesce(v, CASE WHEN t > lo AND t < hi THEN e END, f), 4) + 0.0 AS value FROM (SELECT l.user_id, l.t, l.v, l.f, st.level + st.trend AS e FROM lin l LEFT JOIN st USING (user_id, t)) JOIN (SELECT user_id, min(t) AS lo, max(t) AS hi FROM known GROUP BY 1) USING (user_id)",
+)(_fill("ets"))
 
 
 @query("fill_report", f"WITH {views.SERIES} SELECT user_id, count(*) FILTER (v IS NULL) AS gaps, count(*) FILTER (v IS NULL AND f IS NOT NULL) AS filled FROM lin GROUP BY 1")
@@ -821,7 +883,7 @@ query("glcm_mean", "WITH " + _GLCM.format(angles=", ".join(_STEPS.values())))(_t
 for _a, _v in _STEPS.items():
     query(f"glcm_{_a}", "WITH " + _GLCM.format(angles=_v))(_texture(_a))
 
-# Wavelets. One level is a weighted join in SQL; deeper ones are tested by their inverse.
+# Wavelets. A level is a weighted join along each axis in SQL.
 
 
 def _tap_values(w: str) -> str:
@@ -837,9 +899,43 @@ for _w in wavelets.WAVELETS:
     )(lambda s, d, w=_w: rounded(tiles.from_tiles(wavelets.transform(views.patch(s, d), 1, w), ["vec_id"])))
 
 
-@query("idwt2d_roundtrip", f"WITH {views.PATCH} SELECT vec_id, row::INT AS row, col::INT AS col, round(v, 6) + 0.0 AS value FROM patch")
+def _apart(src: str, dst: str, axis: str, n: int, limits: dict[str, int]) -> str:
+    """One transform along an axis, over its first n places and the others' first ones; the rest stays."""
+    axes, half = [axis, *limits], n // 2
+    inside = " AND ".join([f"{axis} < {n}", *(f"{a} < {m}" for a, m in limits.items())])
+    put = ", ".join(f"b * {half} + k AS {a}" if a == axis else a for a in axes)
+    return f"{dst} AS (SELECT vec_id, {put}, sum(w * v) AS v FROM {src}, tp, range({half}) r(k) WHERE {inside} AND {axis} = (2 * k + j) % {n} GROUP BY ALL UNION ALL SELECT vec_id, {', '.join(axes)}, v FROM {src} WHERE NOT ({inside}))"
+
+
+def _joined(src: str, dst: str, axis: str, n: int, limits: dict[str, int]) -> str:
+    axes, half = [axis, *limits], n // 2
+    inside = " AND ".join([f"{axis} < {n}", *(f"{a} < {m}" for a, m in limits.items())])
+    put = ", ".join(f"(2 * ({axis} % {half}) + j) % {n} AS {a}" if a == axis else a for a in axes)
+    return f"{dst} AS (SELECT vec_id, {put}, sum(w * v) AS v FROM {src}, tp WHERE {inside} AND b = {axis} // {half} GROUP BY ALL UNION ALL SELECT vec_id, {', '.join(axes)}, v FROM {src} WHERE NOT ({inside}))"
+
+
+def _taps(w: str) -> str:
+    return f"tp(b, j, w) AS (VALUES {_tap_values(w)})"
+
+
+_FORWARD = ", ".join([_apart("patch", "a1", "col", 8, {"row": 8}), _apart("a1", "a2", "row", 8, {"col": 8}), _apart("a2", "a3", "col", 4, {"row": 4}), _apart("a3", "a4", "row", 4, {"col": 4})])
+
+
+def _backward(src: str) -> str:
+    return ", ".join([_joined(src, "s1", "row", 4, {"col": 4}), _joined("s1", "s2", "col", 4, {"row": 4}), _joined("s2", "s3", "row", 8, {"col": 8}), _joined("s3", "s4", "col", 8, {"row": 8})])
+
+
+_OUT2 = "SELECT vec_id, row::INT AS row, col::INT AS col, round(v, 6) + 0.0 AS value FROM "
+
+
+@query("dwt2d_two_levels", f"WITH {views.PATCH}, {_taps('db4')}, {_FORWARD} {_OUT2} a4")
 def _(s, d):
-    return rounded(tiles.from_tiles(wavelets.inverse(wavelets.transform(views.patch(s, d), 3, "db6"), 3, "db6"), ["vec_id"]))
+    return rounded(tiles.from_tiles(wavelets.transform(views.patch(s, d), 2, "db4"), ["vec_id"]))
+
+
+@query("idwt2d_two_levels", f"WITH {views.PATCH}, {_taps('sym4')}, {_backward('patch')} {_OUT2} s4")
+def _(s, d):
+    return rounded(tiles.from_tiles(wavelets.inverse(views.patch(s, d), 2, "sym4"), ["vec_id"]))
 
 
 _HAAR = f"{views.PATCH}, bl AS (SELECT vec_id, row // 2 AS r, col // 2 AS k, max(v) FILTER (row % 2 = 0 AND col % 2 = 0) AS a, max(v) FILTER (row % 2 = 0 AND col % 2 = 1) AS b, max(v) FILTER (row % 2 = 1 AND col % 2 = 0) AS c, max(v) FILTER (row % 2 = 1 AND col % 2 = 1) AS d FROM patch GROUP BY 1, 2, 3), hw AS (SELECT vec_id, r, k, (a + b + c + d) / 2 AS \"LL\", (a - b + c - d) / 2 AS \"LH\", (a + b - c - d) / 2 AS \"HL\", (a - b - c + d) / 2 AS \"HH\" FROM bl), sb AS (UNPIVOT hw ON \"LL\", \"LH\", \"HL\", \"HH\" INTO NAME subband VALUE coef)"
@@ -863,16 +959,37 @@ def _(s, d):
     return rounded(c.select("vec_id", "subband", "row", "col", t("soft"), t("hard")))
 
 
-@query("bayes_denoise")
+@query(
+    "bayes_denoise",
+    f"WITH {views.PATCH}, {_taps('db4')}, {_FORWARD}, lb AS (SELECT *, CASE WHEN row < 4 AND col < 4 THEN CASE WHEN row < 2 AND col < 2 THEN 'LL' ELSE '2' || (row // 2) || (col // 2) END ELSE '1' || (row // 4) || (col // 4) END AS band FROM a4), "
+    "sg AS (SELECT vec_id, median(abs(v)) / 0.6744897501960817 AS sigma FROM lb WHERE band = '111' GROUP BY 1), th AS (SELECT vec_id, band, CASE WHEN sqrt(greatest(avg(v * v) - any_value(sigma) ** 2, 0)) < 1e-12 THEN max(abs(v)) ELSE any_value(sigma) ** 2 / sqrt(greatest(avg(v * v) - any_value(sigma) ** 2, 0)) END AS t FROM lb JOIN sg USING (vec_id) GROUP BY 1, 2), "
+    f"sh AS (SELECT vec_id, row, col, CASE WHEN band = 'LL' THEN v ELSE sign(v) * greatest(abs(v) - t, 0) END AS v FROM lb JOIN th USING (vec_id, band)), {_backward('sh')} {_OUT2} s4",
+)
 def _(s, d):
     return rounded(tiles.from_tiles(wavelets.bayes_denoise(views.patch(s, d), 2, "db4"), ["vec_id"]))
 
 
-@query("dwt3d_roundtrip", f"WITH {views.PATCH} SELECT vec_id, row::INT AS row, col::INT AS col, round(v, 6) + 0.0 AS value FROM patch")
+# A patch as a cube of 4 times 4 x 4: all levels of every slice, then of the first slices over time.
+_CUBE = "cube AS (SELECT vec_id, i // 16 AS t, i // 4 % 4 AS row, i % 4 AS col, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) x(i))"
+_OUT3 = "SELECT vec_id, (t * 16 + row * 4 + col)::INT AS at, round(v, 6) + 0.0 AS value FROM "
+_CUBED = ", ".join([
+    _apart("cube", "a1", "col", 4, {"row": 4, "t": 4}), _apart("a1", "a2", "row", 4, {"col": 4, "t": 4}), _apart("a2", "a3", "col", 2, {"row": 2, "t": 4}), _apart("a3", "a4", "row", 2, {"col": 2, "t": 4}),
+    _apart("a4", "a5", "t", 4, {"row": 4, "col": 4}), _apart("a5", "a6", "t", 2, {"row": 4, "col": 4}),
+])
+_UNCUBED = ", ".join([
+    _joined("cube", "s1", "t", 2, {"row": 4, "col": 4}), _joined("s1", "s2", "t", 4, {"row": 4, "col": 4}),
+    _joined("s2", "s3", "row", 2, {"col": 2, "t": 4}), _joined("s3", "s4", "col", 2, {"row": 2, "t": 4}), _joined("s4", "s5", "row", 4, {"col": 4, "t": 4}), _joined("s5", "s6", "col", 4, {"row": 4, "t": 4}),
+])
+
+
+@query("dwt3d", f"WITH {_CUBE}, {_taps('haar')}, {_CUBED} {_OUT3} a6")
 def _(s, d):
-    cube = views.patch(s, d).withColumn("n_rows", F.lit(1)).withColumn("n_cols", F.lit(64))
-    back = tiles.map_tiles(cube, lambda x: wavelets.idwt3d(wavelets.dwt3d(x.reshape(-1, 4, 4), 2), 2).reshape(len(x), -1))
-    return rounded(tiles.from_tiles(back.withColumn("n_cols", F.lit(8)), ["vec_id"]))
+    return rounded(wavelets.transform3d(views.patch(s, d), (4, 4, 4), 2).select("vec_id", F.posexplode("data").alias("at", "value")))
+
+
+@query("idwt3d", f"WITH {_CUBE}, {_taps('db4')}, {_UNCUBED} {_OUT3} s6")
+def _(s, d):
+    return rounded(wavelets.inverse3d(views.patch(s, d), (4, 4, 4), 2, "db4").select("vec_id", F.posexplode("data").alias("at", "value")))
 
 
 # Grids.
@@ -929,10 +1046,17 @@ def _(s, d):
     return rounded(grids.extract_tiles(tiles.from_tiles(views.patch(s, d), ["vec_id"]), ["vec_id"], 8, 8, 5, 1)[0])
 
 
-@query("stitch_tiles", f"WITH {views.PATCH} SELECT vec_id, row::INT AS row, col::INT AS col, round(v, 6) + 0.0 AS value FROM patch")
+_RAMP = "CASE WHEN least({a}, 4 - {a}) < 2 THEN 0.5 * (1 - cos(pi() * least({a}, 4 - {a}) / 2.0)) ELSE 1 END"
+
+
+@query(
+    "stitch_tiles",
+    f"WITH {views.PATCH}, tl AS (SELECT p.vec_id, tr * 2 + tc AS tile_id, tr * 3 + a AS row, tc * 3 + b AS col, p.v, greatest(1e-6, {_RAMP.format(a='a')} * {_RAMP.format(a='b')}) AS w FROM patch p, range(2) x(tr), range(2) y(tc), range(5) z(a), range(5) u(b) WHERE p.row = tr * 3 + a AND p.col = tc * 3 + b) "
+    "SELECT vec_id, row::INT AS row, col::INT AS col, round(sum(w * (v + tile_id * tile_id)) / sum(w), 6) + 0.0 AS value FROM tl GROUP BY 1, 2, 3",
+)
 def _(s, d):
     t, m = grids.extract_tiles(tiles.from_tiles(views.patch(s, d), ["vec_id"]), ["vec_id"], 8, 8, 5, 2)
-    return rounded(grids.stitch_tiles(t, m, ["vec_id"]))
+    return rounded(grids.stitch_tiles(t.withColumn("value", F.col("value") + F.col("tile_id") * F.col("tile_id")), m, ["vec_id"]))
 
 
 @query("stitch_tiles_uniform", f"WITH {_TILES} SELECT vec_id, (tile_r * 4 + row)::INT AS row, (tile_c * 4 + col)::INT AS col, round(avg(v + tile_id), 6) + 0.0 AS value FROM tl WHERE tile_r * 4 + row < 8 AND tile_c * 4 + col < 8 GROUP BY 1, 2, 3")
@@ -950,16 +1074,30 @@ def _(s, d):
     return rounded(store.wide(long, PIXEL, ["B02", "B08"]))
 
 
-@query("indices_long", f"WITH {views.WIDE} SELECT l_returnflag, 'ndvi' AS index, count(*) AS n FROM wide GROUP BY 1 UNION ALL SELECT l_returnflag, 'nbr', count(*) FROM wide GROUP BY 1")
+@query("indices_long", f"WITH {views.WIDE} SELECT l_orderkey, l_linenumber, 'ndvi' AS index, round({INDEX_SQL['ndvi']}::FLOAT::DOUBLE, 5) + 0.0 AS value FROM wide UNION ALL SELECT l_orderkey, l_linenumber, 'nbr', round({INDEX_SQL['nbr']}::FLOAT::DOUBLE, 5) + 0.0 FROM wide")
+def _(s, d):
+    long = store.indices_long(spectral.compute_indices(views.wide(s, d), ["ndvi", "nbr"]), PIXEL, ["ndvi", "nbr"])
+    return rounded(long.withColumn("value", F.col("value").cast("double")), 5)
+
+
+# Every patch is a time of its own; of three one has no class layer.
+_TS = f"{_XY}, cl AS (SELECT vec_id AS ts, arg_min((vec_id * 7 + row * 8 + col) % 12, abs(x - 19.033) + abs(y - 47.456)) IN (0, 1, 3, 8, 9, 10) AS cloudy FROM xy WHERE vec_id % 3 > 0 GROUP BY 1)"
+
+
+def _classes(s, d):
+    return _xy(s, d).where("vec_id % 3 > 0").select(F.col("vec_id").alias("ts"), "x", "y", ((F.col("vec_id") * 7 + F.col("row") * 8 + F.col("col")) % 12).alias("scl"))
+
+
+@query("timeseries_frame", f"WITH {_TS} SELECT vec_id AS ts, 'B08' AS band, round(value, 6) + 0.0 AS value, coalesce(cloudy, false) AS cloudy FROM (SELECT vec_id, arg_min(v, abs(x - 19.033) + abs(y - 47.456)) AS value FROM xy GROUP BY 1) LEFT JOIN cl ON ts = vec_id")
 def _(s, d):
-    w = spectral.compute_indices(views.wide(s, d), ["ndvi", "nbr"])
-    return store.indices_long(w, ["l_returnflag"], ["ndvi", "nbr"]).groupBy("l_returnflag", "index").agg(F.count(F.lit(1)).alias("n"))
+    px = _xy(s, d).withColumn("ts", F.col("vec_id")).withColumn("band", F.lit("B08"))
+    return rounded(plots.timeseries_frame(px.unionByName(px.withColumn("band", F.lit("B04"))), 19.033, 47.456, ["B08"], _classes(s, d)))
 
 
-@query("timeseries_frame", f"WITH {_XY} SELECT vec_id % 5 AS ts, 'B08' AS band, round(arg_min(v, abs(x - 19.033) + abs(y - 47.456)), 6) + 0.0 AS value FROM xy WHERE vec_id < 5 GROUP BY 1")
+@query("timeseries_box", f"WITH {_BOXED} SELECT vec_id AS ts, 'B08' AS band, round(CASE WHEN n > 0 THEN mean ELSE near END, 6) + 0.0 AS value FROM bm")
 def _(s, d):
-    px = _xy(s, d).where("vec_id < 5").withColumn("ts", F.col("vec_id") % 5).withColumn("band", F.lit("B08"))
-    return rounded(plots.timeseries_frame(px, 19.033, 47.456, ["B08"]).drop("cloudy"))
+    px = _boxed(s, d).withColumn("ts", F.col("vec_id")).withColumn("band", F.lit("B08"))
+    return rounded(plots.timeseries_frame(px, 19.033, 47.456, half=0.025).drop("cloudy"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -969,8 +1107,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = views.table(spark, sf_dir, "lineitem").join(scenes, F.col("l_suppkey") == F.col("scene_id"), "left_semi")
     day = F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")).cast("double")
     px = li.select(F.col("l_partkey").alias("pixel"), day.alias("day"), spectral.ndvi(F.col("l_extendedprice") / 1000, F.col("l_quantity")).alias("value"))
-    parts = [stats.valid_obs_count(px, P), stats.pixel_quantiles(px, P), stats.pixel_regression(px, P, "day", "value")]
-    return rounded(parts[0].join(parts[1], "pixel").join(parts[2], "pixel"))
+    return rounded(stats.pixel_profile(px, P))
 
 
 _FLAG = f"""WITH {_METRICS}, ok AS (SELECT s_suppkey FROM supplier LEFT JOIN c ON scene_id = s_suppkey WHERE coalesce(cloud_ratio, 0) <= 0.35 AND coalesce(snow_ratio, 0) <= 1 AND coalesce(confidence_score, 1) >= 0.01),
@@ -979,3 +1116,36 @@ g AS (SELECT pixel, count(v) AS n, avg(day) AS mx, avg(v) AS my, covar_pop(v, da
 SELECT pixel, n AS count, 1.0::DOUBLE AS fraction, p10, p25, p50, p75, p90, CASE WHEN n >= 2 THEN round(CASE WHEN vx < 1e-12 THEN 0 ELSE cv / vx END, 6) + 0.0 END AS slope, CASE WHEN n >= 2 THEN round(my - CASE WHEN vx < 1e-12 THEN 0 ELSE cv / vx END * mx, 6) + 0.0 END AS intercept,
 CASE WHEN n >= 2 THEN round(CASE WHEN vx < 1e-12 OR n * vy < 1e-12 THEN 0 ELSE greatest(0, least(1, cv * cv / (vx * vy))) END, 6) + 0.0 END AS r2 FROM g"""
 query("flagship", _FLAG)(flagship)
+
+
+def _monthly(s, d):
+    """Gated scenes as months of a vegetation index, and the months."""
+    m = quality.validate_scl(views.scl(s, d), ["scene_id"], threshold=0.35)
+    good = quality.scene_gate(views.table(s, d, "supplier").select(F.col("s_suppkey").alias("scene_id")), m, max_cloud=0.35).where("accepted").select("scene_id")
+    li = views.table(s, d, "lineitem").join(good, F.col("l_suppkey") == F.col("scene_id"), "left_semi")
+    t = ((F.year("l_shipdate") - 1992) * 4 + F.quarter("l_shipdate") - 1).alias("t_idx")
+    px = li.groupBy(F.col("l_partkey").alias("pixel"), t).agg(F.avg(spectral.ndvi(F.col("l_extendedprice") / 1000, F.col("l_quantity"))).alias("value"))
+    times = s.range(28).select(F.col("id").cast("int").alias("t_idx"), (F.col("id") * 91.0).alias("day"))
+    return px, times
+
+
+_CHAIN = f"""WITH {_METRICS}, ok AS (SELECT s_suppkey FROM supplier LEFT JOIN c ON scene_id = s_suppkey WHERE coalesce(cloud_ratio, 0) <= 0.35 AND coalesce(snow_ratio, 0) <= 1 AND coalesce(confidence_score, 1) >= 0.01),
+mo AS (SELECT l_partkey AS pixel, (year(l_shipdate) - 1992) * 4 + quarter(l_shipdate) - 1 AS t, avg((l_extendedprice / 1000 - l_quantity) / (l_extendedprice / 1000 + l_quantity)) AS v FROM lineitem SEMI JOIN ok ON l_suppkey = s_suppkey GROUP BY 1, 2),
+gr AS (SELECT p.pixel, r.t, mo.v FROM (SELECT DISTINCT pixel FROM mo) p CROSS JOIN range(28) r(t) LEFT JOIN mo ON mo.pixel = p.pixel AND mo.t = r.t),
+nb AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN t END) OVER (PARTITION BY pixel ORDER BY t) AS ta, min(CASE WHEN v IS NOT NULL THEN t END) OVER (PARTITION BY pixel ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tb FROM gr),
+fi AS (SELECT n.pixel, n.t * 91.0::DOUBLE AS d, n.v IS NOT NULL AS known, coalesce(n.v, a.v + (n.t - n.ta) / (n.tb - n.ta)::DOUBLE * (b.v - a.v), a.v, b.v) AS v FROM nb n LEFT JOIN gr a ON a.pixel = n.pixel AND a.t = n.ta LEFT JOIN gr b ON b.pixel = n.pixel AND b.t = n.tb),
+pf AS (SELECT pixel, count(*) FILTER (known) AS n_valid, count(*) AS n, avg(d) AS mx, avg(v) AS my, covar_pop(v, d) AS cv, var_pop(d) AS vx, var_pop(v) AS vy, quantile_cont(v, 0.5) AS p50 FROM fi GROUP BY 1),
+pr AS (SELECT a.pixel, quantile_cont((b.v - a.v) / (b.d - a.d), 0.5) AS ts_slope, sum(sign(b.v - a.v)) AS s FROM fi a JOIN fi b ON a.pixel = b.pixel AND a.d < b.d GROUP BY 1),
+ti AS (SELECT pixel, sum(k * (k - 1) * (2 * k + 5)) AS ties FROM (SELECT pixel, v, count(*)::DOUBLE AS k FROM fi GROUP BY 1, 2) GROUP BY 1),
+se AS ({{season}})
+SELECT pixel, n_valid, round(p50, 6) + 0.0 AS p50, round(cv / vx, 8) + 0.0 AS slope, round(CASE WHEN n * vy < 1e-12 THEN 0 ELSE greatest(0, least(1, cv * cv / (vx * vy))) END, 6) + 0.0 AS r2, round(ts_slope, 8) + 0.0 AS ts_slope,
+       round(CASE WHEN var < 1e-12 THEN 0 ELSE (s - sign(s)) / sqrt(var) END, 6) + 0.0 AS mk_z, sos, pos, eos, peak_val
+FROM (SELECT *, (n * (n - 1) * (2 * n + 5) - ties) / 18 AS var FROM pf JOIN pr USING (pixel) JOIN ti USING (pixel) JOIN se USING (pixel))"""
+
+
+@query("analysis_chain", _CHAIN.format(season="WITH " + _phen("fi", "pixel", "d", "v", 4)))
+def _(s, d):
+    px, times = _monthly(s, d)
+    out = analysis.analyse(px, P, times, "linear")
+    at = lambda c, k: (F.round(c, k) + F.lit(0.0)).alias(c)
+    return out.select("pixel", "n_valid", at("p50", 6), at("slope", 8), at("r2", 6), at("ts_slope", 8), at("mk_z", 6), *[at(c, 4) for c in ("sos", "pos", "eos", "peak_val")])

@@ -6,11 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terraframe.functions import scaling, spectral
+from terraframe.functions import frames, scaling, spectral
 from terraframe.operators import filters, gapfill, grids, quality, stats, texture, tiles, trends, wavelets
-from terraframe.plans import plots
+from terraframe.plans import plots, scenes as scene_plans
 from terraframe.plans.stack import StackConfig, stack_timeseries
-from terraframe.sources import bands, catalog, store
+from terraframe.sources import bands, catalog, store, tiff
 from terraframe.streaming import live
 
 
@@ -349,3 +349,166 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
     s = live.activity(px, ["scene_id"], gap="30 hours").collect()
     assert len(s) == 1 and s[0]["n"] == 5
+
+
+def test_stack_errors_and_alignment(spark):
+    from datetime import datetime
+
+    grid = "scene_id string, ts timestamp, n_rows int, n_cols int, x0 double, y0 double, dx double, dy double"
+    two = spark.createDataFrame([("a", datetime(2024, 1, 1), 40, 40, 0.0, 0.0, 1.0, -1.0), ("b", datetime(2024, 1, 2), 80, 80, -0.25, 0.25, 0.5, -0.5)], grid)
+    px = spark.createDataFrame([(s, "red", r, c, float(100 * r + c)) for s, n in (("a", 40), ("b", 80)) for r in range(n) for c in range(n)], "scene_id string, band string, row int, col int, value double")
+    with pytest.raises(ValueError, match="inconsistent shapes"):
+        stack_timeseries(two, px, StackConfig(align=False))
+    with pytest.raises(ValueError, match="inconsistent shapes"):
+        stack_timeseries(two.drop("x0"), px)
+    with pytest.raises(ValueError, match="no scene passed"):
+        stack_timeseries(two, px, StackConfig(min_confidence=2.0))
+    with pytest.raises(ValueError, match="no reference"):
+        stack_timeseries(two, px, StackConfig(reference="z"))
+    out = {(r["scene_id"], r["row"], r["col"]): r["value"] for r in stack_timeseries(two, px).pixels.collect()}
+    assert len(out) == 3200 and out["a", 3, 4] == 304 and out["b", 0, 0] == 101  # halves go away from zero
+    assert all(out["b", r, c] == 100 * min(79, 2 * r + 1) + min(79, 2 * c + 1) for r in range(40) for c in range(40))
+    finer = stack_timeseries(two, px, StackConfig(reference="b")).pixels.where("scene_id = 'a'")
+    assert finer.count() == 6400
+    scl = spark.createDataFrame([("a", 4), ("b", 4)], "scene_id string, scl int")
+    small = two.withColumn("n_rows", F.lit(8)).withColumn("n_cols", F.lit(8))
+    state = {r["scene_id"]: (r["accepted"], r["reject_reason"]) for r in stack_timeseries(small, px.where("row < 8 AND col < 8"), StackConfig(align=False), scl=scl.where("scene_id = 'a'")).scenes.collect()}
+    assert state == {"a": (False, "dimension check failed"), "b": (True, "")}
+    passes = stack_timeseries(small, px, StackConfig(align=False), scl=scl, unreadable=scl.select("scene_id")).scenes.collect()
+    assert {(r["accepted"], r["report_source"]) for r in passes} == {(True, "scl_computed")}
+
+
+def test_raster_files(spark, tmp_path):
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(9)
+    for kind in ("uint8", "int16", "uint16", "float32", "float64"):
+        x = (rng.random((3, 70, 41)) * 100).astype(kind)
+        back = tiff.decode(tiff.encode(x, (19.0, 47.5, 0.01, -0.01), -1.0))
+        assert back.data.dtype == kind and (back.data == x).all() and back.nodata == -1.0 and np.allclose(back.grid, (19.0, 47.5, 0.01, -0.01))
+    # By hand: big-endian, tiles of 16 x 16 with horizontal differences, two interleaved bands.
+    x = rng.integers(0, 60000, (20, 18, 2)).astype(">u2")
+    padded = np.zeros((32, 32, 2), ">u2")
+    padded[:20, :18] = x
+    chunks = []
+    for r in (0, 16):
+        for c in (0, 16):
+            block = padded[r : r + 16, c : c + 16].astype(np.uint16)
+            block[:, 1:] -= block[:, :-1].copy()
+            chunks.append(zlib.compress(block.astype(">u2").tobytes()))
+    body, at = b"", []
+    for c in chunks:
+        at.append(8 + len(body))
+        body += c
+    body += b"\0" * (len(body) % 2)
+    entry = 8 + len(body)
+    more = struct.pack(">4I", *at) + struct.pack(">4I", *map(len, chunks))
+    place = entry + 2 + 12 * 11 + 4
+    short = lambda tag, *v: struct.pack(">HHI", tag, 3, len(v)) + struct.pack(f">{len(v)}H", *v).ljust(4, b"\0")
+    tags = [short(256, 18), short(257, 20), short(258, 16, 16), short(259, 8), short(277, 2), short(284, 1), short(317, 2), short(322, 16), short(323, 16), struct.pack(">HHII", 324, 4, 4, place), struct.pack(">HHII", 325, 4, 4, place + 16)]
+    raw = b"MM" + struct.pack(">HI", 42, entry) + body + struct.pack(">H", 11) + b"".join(tags) + struct.pack(">I", 0) + more
+    assert (tiff.decode(raw).data == x.transpose(2, 0, 1)).all()
+    for bad in (b"", b"II*\0", raw[:40]):
+        with pytest.raises(Exception):
+            tiff.decode(bad)
+
+    rows = [("site_20240131T101112", [1.0, None, 3.0, 4.0, 5.0, 6.0], 2, 3, 19.0, 47.5, 0.1, -0.1), ("other", [7.0] * 4, 2, 2, None, None, None, None)]
+    df = spark.createDataFrame(rows, "name string, data array<double>, n_rows int, n_cols int, x0 double, y0 double, dx double, dy double")
+    tiff.write_rasters(df, str(tmp_path / "r"))
+    (tmp_path / "r" / "broken.tif").write_bytes(b"nothing")
+    back = tiff.read_rasters(spark, f"file://{tmp_path}/r", ["red"])
+    got = {(r["scene_id"], r["row"], r["col"]): (r["band"], r["value"]) for r in back.where("error IS NULL").collect()}
+    assert len(got) == 10 and got["site_20240131T101112", 0, 1] == ("red", None) and got["site_20240131T101112", 1, 2] == ("red", 6.0)
+    one_scene = one(back.where("scene_id LIKE 'site%'").select("ts", "x0", "dy", "n_cols").distinct())
+    assert str(one_scene["ts"]) == "2024-01-31 10:11:12" and one_scene["x0"] == 19.0 and math.isclose(one_scene["dy"], -0.1) and one_scene["n_cols"] == 3
+    assert "no TIFF" in one(back.where("error IS NOT NULL"))["error"]
+
+
+def test_points_in_reference_systems():
+    x, y = quality.utm(3.0, 45.0, 31)
+    assert math.isclose(x, 500000, abs_tol=1e-6) and math.isclose(y, 4982950.400, abs_tol=2e-3)
+    x, y = quality.utm(0.0, 0.0, 31)
+    assert math.isclose(x, 166021.443, abs_tol=2e-3) and abs(y) < 1e-6
+    assert quality.utm(3.0, -45.0, 31, True)[1] == 10_000_000 - quality.utm(3.0, 45.0, 31)[1]
+    assert quality.native_point(19.0, 47.5) == quality.native_point(19.0, 47.5, 4326) == (19.0, 47.5)
+    assert quality.native_point(3.0, 45.0, 32631) == quality.utm(3.0, 45.0, 31)
+
+
+def test_kernels_take_nulls_and_check_shapes(spark):
+    schema = "id int, data array<double>, n_rows int, n_cols int"
+    df = spark.createDataFrame([(0, [1.0, 2.0, 3.0, 4.0], 2, 2), (1, None, 2, 2), (2, None, None, None)], schema)
+    out = {r["id"]: r["data"] for r in tiles.map_tiles(df, lambda x: x + 1).collect()}
+    assert out == {0: [2.0, 3.0, 4.0, 5.0], 1: None, 2: None}
+    with pytest.raises(Exception, match="no tile of 2 x 2"):
+        tiles.map_tiles(spark.createDataFrame([(0, [1.0], 2, 2)], schema), lambda x: x).collect()
+    series_ = spark.createDataFrame([(0, [1.0, None, 3.0]), (1, None), (2, [])], "id int, values array<double>")
+    assert {r["id"]: r["filled"] for r in gapfill.interpolate_gaps(series_).collect()} == {0: [1.0, 2.0, 3.0], 1: None, 2: []}
+    px = spark.createDataFrame([(0, 0, 1, 5.0), (0, 1, 0, 6.0), (0, 9, 9, 1.0)], "id int, row int, col int, value double")
+    assert one(tiles.to_tiles(px, ["id"], 2, 2))["data"] == [None, 5.0, 6.0, None]
+    block = one(tiles.blocks_with_halo(px.where("row < 2"), ["id"], 4, 1))
+    assert block["data"] == [None, 5.0, 6.0, None] and (block["n_rows"], block["n_cols"]) == (2, 2)
+
+
+def test_names_of_working_columns_do_not_clash(spark):
+    df = series(spark, [1, None, 3, 4, 9]).withColumns({"_q": F.lit("x"), "_in": F.lit("x"), "_gap": F.lit("x"), "_t": F.lit("x"), "_a": F.lit("x"), "_b": F.lit("x"), "_mean": F.lit("x"), "_lo": F.lit("x"), "_k_p": F.lit("x"), "band": F.lit("r"), "row": F.lit(0), "col": F.col("t")})
+    assert frames.fresh(df, "q", "Q", "new") == ["__q", "___Q", "_new"]
+    for out in (stats.pixel_iqr(df, ["p"]), gapfill.fill_linear(df, ["p"], "t"), stats.anomaly_zscore(df, ["p"], window_days=400), scaling.minmax_band(df, ["p"]), scaling.percentile_stretch(df, ["p"]), scaling.normalize_for_dl(df, "zscore", ["p"])):
+        assert out.count() == 5 and {r["_q"] for r in out.collect()} == {"x"} and set(df.columns) <= set(out.columns)
+    assert one(stats.temporal_gap_stats(df, ["p"]))["max_gap"] == 32.0 and one(stats.time_window_stats(df, ["p"], window_days=400))["mean"] == 4.25
+    assert grids.bilinear_upsample(df.withColumn("_a", F.lit(1)), ["p"], (1, 5), (1, 9)).count() == 9
+
+
+def test_exact_percentiles_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(frames, "ACCURACY", 20)
+    rng = np.random.default_rng(11)
+    rows = [("a", float(x)) for x in rng.normal(size=3000)] + [("b", float(int(x * 3))) for x in rng.normal(size=2500)] + [("c", 1.0), ("c", 2.0), (None, 5.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, value double").repartition(5)
+    shares = [0.0, 0.02, 0.5, 0.777, 0.98, 1.0]
+    got = {r["k"]: r["percentiles"] for r in frames.exact_percentiles(df, ["k"], "value", shares).collect()}
+    for k in ("a", "b", "c", None):
+        assert np.allclose(got[k], np.quantile([v for x, v in rows if x == k], shares)), k
+    assert set(got) == {"a", "b", "c", None}
+
+
+def test_trends_of_long_series(monkeypatch):
+    rng = np.random.default_rng(12)
+    x, y = np.sort(rng.choice(10_000, 301, replace=False)).astype(float)[None], rng.normal(size=(1, 301)).cumsum(1).round(1)
+    whole = trends._theil_sen(x, y)
+    monkeypatch.setattr(trends, "PAIRS", 1000)
+    assert math.isclose(trends._theil_sen(x, y)["slope"][0], whole["slope"][0])
+    i, j = np.triu_indices(301, 1)
+    assert math.isclose(whole["slope"][0], np.median((y[0, j] - y[0, i]) / (x[0, j] - x[0, i])))
+    mk = trends._mann_kendall(x, y)
+    assert mk["S"][0] == np.sign(y[0, j] - y[0, i]).sum()
+    same = trends._theil_sen(np.ones((2, 3)), np.array([[1.0, 2, 3], [4, 4, 4]]))
+    assert same["slope"].tolist() == [0, 0] and same["intercept"].tolist() == [2, 4]
+
+
+def test_bands_by_name_and_number(spark, tmp_path):
+    px = spark.createDataFrame([("B04", 1.0), ("B08", 2.0)], "band string, value double")
+    value = lambda which: one(store.pick_band(px, which, ["red", "nir"]))["value"]
+    assert value("red") == value("B04") == value(0) == value("0") == 1.0 and value(1) == value("nir") == value(-1) == 2.0
+    for bad in (None, 5, "x"):
+        with pytest.raises(ValueError):
+            store.pick_band(px, bad, ["red", "nir"])
+    assert one(store.pick_band(px.where("band = 'B04'"), None, ["red"]))["value"] == 1.0
+    with pytest.raises(FileNotFoundError):
+        store.load_stats(spark, str(tmp_path / "none"))
+
+
+def test_scenes_without_layers_and_sharpening_that_cannot_be(spark, tmp_path):
+    items = spark.createDataFrame([(1, False, None, None, None)], "item_id int, has_scl boolean, shape_rows int, shape_cols int, scl_error string")
+    none = spark.createDataFrame([], "item_id int, row int, col int, scl int")
+    px = spark.createDataFrame([(1, "red", r, c, float(r + c)) for r in range(3) for c in range(3)], "item_id int, band string, row int, col int, value double")
+    no_grid = spark.createDataFrame([], "item_id int, band string, n_rows int, n_cols int, x0 double, y0 double, dx double, dy double")
+    pan = spark.createDataFrame([(1, r, c, 1.0) for r in range(3) for c in range(3)], "item_id int, row int, col int, value double")
+    cfg = scene_plans.SceneConfig(bands=("B04", "B08"), sharpen="ihs", ms_shape=(3, 3), pan_shape=(3, 3))
+    out = scene_plans.materialise_scenes(items, px, no_grid, none, cfg, pan)
+    report = one(out.reports)
+    assert report["written"] and report["missing"] == ["B08"] and report["warning"] == quality.NO_CLASSES
+    assert sorted((r["row"], r["col"], r["value"]) for r in out.spectral.collect()) == sorted((r, c, float(r + c)) for r in range(3) for c in range(3))
+    out.write(str(tmp_path / "scenes"))
+    assert spark.read.parquet(str(tmp_path / "scenes/spectral")).count() == 9
+    empty = scene_plans.materialise_scenes(items.limit(0), px, no_grid, none, cfg)
+    assert empty.reports.count() == 0 and empty.spectral.count() == 0
