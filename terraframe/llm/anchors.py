@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: list[np.ndarray] = []
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_POWERS: dict[int, list[np.ndarray]] = {}
 POSITION_BITS = 24
 
 
@@ -20,18 +20,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _POWERS[:] = [np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, b, np.uint64), dtype=np.uint64))) for b in (_BASE, inverse)]
-    return _POWERS[0], _POWERS[1]
+def _powers(n: int, base: int) -> list[np.ndarray]:
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        _POWERS[base] = [np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, b, np.uint64), dtype=np.uint64))) for b in (np.uint64(base), np.uint64(pow(base, -1, 1 << 64)))]
+    return _POWERS[base]
 
 
 class Sums:
     """Polynomial hashes of any substring of ``data``."""
 
-    def __init__(self, data: np.ndarray):
-        power, self.inverse = _powers(len(data) + 1)
+    def __init__(self, data: np.ndarray, base: int = BASES[0]):
+        power, self.inverse = _powers(len(data) + 1, base)
         self.sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(np.arange(256, dtype=np.uint64) + np.uint64(1))[data] * power[: len(data)], dtype=np.uint64)))
 
     def grams(self, k: int) -> np.ndarray:
@@ -43,10 +42,10 @@ class Sums:
 
 
 def blocks(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Blocks of the texts that ``offsets`` cut ``data`` into: (text number, lo in data, n windows, anchor in data, anchor's hash, block's hash)."""
+    """Blocks of the texts that ``offsets`` cut ``data`` into: (text number, lo in data, n windows, anchor in data, anchor's hash, and two hashes of the block, by different bases)."""
     empty = np.empty(0, np.int64)
     if len(data) < length:
-        return empty, empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, empty, *[empty.astype(np.uint64)] * 3
     sums = Sums(data)
     grams = sums.grams(k)
     wide = length - k + 1  # k-grams of a window
@@ -65,9 +64,12 @@ def blocks(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[
     valid[tail] = False
     at = np.flatnonzero(valid)
     if not len(at):
-        return empty, empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, empty, *[empty.astype(np.uint64)] * 3
     own = anchor[at]
     first = np.flatnonzero(np.concatenate(([True], (np.diff(own) != 0) | (np.diff(at) != 1))))
     lo, n = at[first], np.diff(np.concatenate((first, [len(at)])))
     text = np.searchsorted(offsets, lo, "right") - 1
-    return text, lo, n, own[first], grams[own[first]], sums.of(lo, lo + n + length - 1)
+    hi = lo + n + length - 1
+    anchors, one = grams[own[first]], sums.of(lo, hi)
+    del sums, grams, least
+    return text, lo, n, own[first], anchors, one, Sums(data, BASES[1]).of(lo, hi)

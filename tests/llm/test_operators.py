@@ -325,16 +325,115 @@ def test_rates_are_shrunk_and_kept(spark):
 # Substrings.
 
 
-@pytest.mark.parametrize("budget,small", [(1 << 10, 0), (1 << 26, 0), (1 << 26, 1 << 18)])
-def test_suffix_order_is_sorted(budget, small, monkeypatch):
-    monkeypatch.setattr(induced, "SMALL", small)
+def brute_suffixes(text, most):
+    order = sorted(range(len(text)), key=lambda i: text[i:].tolist())
+    common = [0]
+    for a, b in zip(order, order[1:]):
+        k = 0
+        while k < most and max(a, b) + k < len(text) and text[a + k] == text[b + k]:
+            k += 1
+        common.append(k)
+    return order, common
+
+
+@pytest.mark.parametrize("budget,small,step,load", [(1 << 8, 0, 7, 3), (1 << 26, 0, 1 << 17, 1 << 15), (1 << 10, 4, 50, 8), (1 << 26, 1 << 18, 1 << 17, 1 << 15)])
+def test_suffixes_are_sorted_with_their_prefixes(budget, small, step, load, monkeypatch):
+    for name, value in (("SMALL", small), ("STEP", step), ("LOAD", load), ("BREATH", 16)):
+        monkeypatch.setattr(induced, name, value)
     rng = np.random.default_rng(0)
-    for trial in range(60):
-        text = rng.integers(1, 2 + trial % 4, int(rng.integers(1, 150)))
-        text = np.concatenate((np.tile(text[: len(text) // 3 + 1], 3) if trial % 3 == 0 else text, [0]))
+    for trial in range(70):
+        text = rng.integers(1, 2 + trial % 5, int(rng.integers(1, 200)))
+        text = np.tile(text[: len(text) // 3 + 1], 3) if trial % 3 == 0 else text
+        text = np.concatenate((text, np.full(60, 3), text)) if trial % 7 == 0 else text
+        text = np.append(text, 0).astype(np.uint16)
+        text[:-1] *= (1, 50)[trial % 2]  # more symbols than places
+        most = (3, 10, 100)[trial % 3]
+        with induced.Workspace(budget) as space:
+            order, common = induced.suffix_order(np.append(text, np.zeros(induced.PAD, np.uint16)), len(text), most, space)
+            assert (order.tolist(), common.tolist()) == brute_suffixes(text, most)
+    for n in (1, 2):
         with induced.Workspace(budget) as space:
-            got = induced.suffix_order(text, space).tolist()
-        assert got == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+            order, _ = induced.suffix_order(np.append(np.arange(n)[::-1], np.zeros(induced.PAD)).astype(np.uint16), n, 9, space)
+            assert order.tolist() == [1, 0][-n:]
+
+
+def test_least_values_of_ranges():
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 255, 5000).astype(np.uint8)
+    with induced.Workspace(100) as space:
+        least, at = induced.Minima(space, 5000), 0
+        while at < 5000:
+            size = int(rng.integers(1, 300))
+            least.append(values[at : at + size])
+            at += size
+        a = rng.integers(0, 4999, 2000)
+        k = a + 1 + (rng.random(2000) ** 3 * (4999 - a)).astype(int)
+        k = np.clip(k, a + 1, 4999)
+        assert least.after(a, k).tolist() == [values[x + 1 : y + 1].min() for x, y in zip(a, k)]
+
+
+@pytest.mark.parametrize("step", [11, 64, 1 << 17])
+def test_windows_of_a_shard_are_brute_force(monkeypatch, step):
+    """Runs of equal windows over pieces of the order, blocks that follow each other alike, copies."""
+    monkeypatch.setattr(substrings, "STEP", step)
+    monkeypatch.setattr(induced, "SMALL", 100)
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(words(rng, n)).encode()
+    shared = [text(14), text(11), b"x" * 150, b"ab" * 80]
+    docs = [text(4) + shared[k % 4] + text(3) for k in range(40)]
+    docs += docs[:8] + [docs[2], docs[3], docs[2], docs[3]]
+    order = rng.permutation(len(docs))
+    seen, want = {}, set()
+    for k in np.argsort(order):
+        for at in range(len(docs[k]) - 99):
+            window = docs[k][at : at + 100]
+            if window in seen:
+                want.add((int(order[k]), at))
+            seen.setdefault(window, at)
+    with induced.Workspace(1 << 12) as space:
+        shard = substrings._Shard(space, 100)
+        for lo in range(0, len(docs), 9):
+            part = docs[lo : lo + 9]
+            zero = np.zeros(len(part), np.int64)
+            shard.add(zero + 5, order[lo : lo + 9].astype(np.int64), zero, zero, zero - 1, np.frombuffer(b"".join(part), np.uint8), np.array([len(x) for x in part]))
+        got = [(d, at) for cut in shard.late() for d, a, b in zip(cut[0].tolist(), cut[2].tolist(), cut[3].tolist()) for at in range(a, b - 99)]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+
+
+SHARD = """
+import resource, sys
+import numpy as np
+sys.path.insert(0, {root!r})
+from terraframe.llm import induced, substrings
+rng = np.random.default_rng(0)
+induced.SMALL = 1 << 14
+space = induced.Workspace({budget})
+shard, n = substrings._Shard(space, 100), 0
+shared = rng.integers(97, 110, 120).astype(np.uint8)
+pool = rng.integers(97, 101, 4000).astype(np.uint8)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for batch in range({batches}):
+    rows = [np.concatenate((rng.integers(97, 101, 30).astype(np.uint8), shared if k % 3 == 0 else pool[(a := int(rng.integers(0, 3800))) : a + 120], rng.integers(97, 101, 30).astype(np.uint8))) for k in range(500)]
+    one = lambda v: np.full(500, v, np.int64)
+    shard.add(one(1), np.arange(n, n + 500), one(0), one(0), one(-1), np.concatenate(rows), one(180))
+    n += 500
+windows = sum(int((stop - start - 99).sum()) for _, _, start, stop in shard.late())
+print(n * 180, windows, space.files, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+
+
+def test_shards_beyond_the_budget_are_on_disk():
+    """A shard of one key, 5 MB and all of it sorted, with a budget of 256 KB an array: against the same in memory."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(substrings.__file__).parents[2])
+    run = lambda budget: list(map(int, subprocess.run([sys.executable, "-c", SHARD.format(root=root, budget=budget, batches=56)], capture_output=True, text=True, check=True).stdout.split()))
+    size, windows, files, kilobytes = run(1 << 18)
+    assert size > 5_000_000 and files > 300 and kilobytes < 130_000
+    inside = run(1 << 34)
+    assert inside[1] == windows > 100_000 and inside[2] == 0 and inside[3] > 2 * kilobytes
 
 
 def test_substrings_are_brute_force(spark, monkeypatch):
@@ -351,6 +450,20 @@ def test_substrings_are_brute_force(spark, monkeypatch):
     assert substrings.deduplicate(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2, 5])
+def test_crowded_anchors_are_cut(spark, monkeypatch, hot):
+    """Passages that many documents share, in other surroundings each time."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    rng = np.random.default_rng(21)
+    passages = [" ".join(words(rng, n)) for n in (9, 12, 20, 40)]
+    texts = [" ".join([*words(rng, 12), passages[k % 4], *words(rng, 9)]) for k in range(48)]
+    texts += [t[7:] for t in texts[::5]] + [passages[3][20:], passages[2] + passages[2][:130]] + texts[:3]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted((r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in substrings.deduplicate(df).collect())
+    assert got == substrings.brute_force(rows)
+
+
 def test_repeated_and_null_ids_of_substrings(spark):
     a, b = "q w e r t y " * 12, " ".join(words(np.random.default_rng(12), 30))[:180]
     df = spark.createDataFrame([(1, a), (1, a), (None, b), (2, b)], "doc_id long, text string")
