@@ -322,6 +322,79 @@ def test_rates_are_shrunk_and_kept(spark):
     assert quality.classify(documents(spark, EMPTY), labels, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_posteriors_are_the_plain_computation(spark):
+    """Rates, strengths and posteriors from the evidence, by loops."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(14)
+    rows = [(i, ("### " if i % 3 == 0 else " ").join(words(rng, 20 + i % 30)), (None, "en", "de")[i % 3 if i % 11 else 0], f"s{i % 5}" if i % 13 else None) for i in range(150)]
+    rows += [(149, rows[149][1], "en", "s1"), (None, None, None, None)]
+    known = {i: float(i % 3 != 0) for i in range(0, 150, 4)}
+    labels = spark.createDataFrame([(i, int(v)) for i, v in known.items()] + [(0, 1), (7, None)], "doc_id long, quality int")
+    known[0] = 0.5  # two labels that differ
+    out = [r.asDict() for r in quality.classify(documents(spark, rows), labels, F.col("source"), F.col("lang")).collect()]
+    assert len(out) == len(rows)
+    base = sum(known.values()) / len(known)
+    odds = math.log(base / (1 - base))
+    for r in out:
+        r["p"] = known.get(r["doc_id"], 1 / (1 + math.exp(-(r["evidence"] + odds))))
+    paths, hosts = defaultdict(list), defaultdict(list)
+    for r in out:
+        paths[r["host"], r["path"]].append(r["p"])
+        hosts[r["host"]].append(r["p"])
+    rate = sum(map(sum, hosts.values())) / len(out)
+
+    def strength(groups):
+        groups = [(sum(g) / len(g), len(g), c) for g, c in groups if len(g) > 1]
+        n = sum(m for _, m, _ in groups)
+        spread = sum(m * ((x - c) ** 2 - c * (1 - c) / m) for x, m, c in groups) / n
+        whole = sum(m * c * (1 - c) for _, m, c in groups) / n
+        return min(1e4, max(1.0, whole / spread - 1)) if spread > 0 else 1e4
+
+    host_m = strength([(g, rate) for g in hosts.values()])
+    center = {h: (sum(g) + rate * host_m) / (len(g) + host_m) for h, g in hosts.items()}
+    path_m = strength([(g, center[h]) for (h, _), g in paths.items()])
+    for r in out:
+        h, q = hosts[r["host"]], paths[r["host"], r["path"]]
+        host_rate = (sum(h) - r["p"] + rate * host_m) / (len(h) - 1 + host_m)
+        path_rate = (sum(q) - r["p"] + host_rate * path_m) / (len(q) - 1 + path_m)
+        p = min(1 - 1e-6, max(1e-6, path_rate))
+        assert math.isclose(r["host_rate"], host_rate, abs_tol=1e-9) and math.isclose(r["path_rate"], path_rate, abs_tol=1e-9)
+        assert math.isclose(r["p_quality"], 1 / (1 + math.exp(-(r["evidence"] + math.log(p / (1 - p))))), abs_tol=1e-9) and r["keep"] == (r["p_quality"] >= 0.5)
+
+
+def test_evidence_is_at_the_least_of_its_loss():
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(60, 5)) * [1, 5, 0.1, 1, 2] + 3
+    y = (x[:, 0] + rng.normal(size=60) > 3.5).astype(float)
+    model = quality.Logistic(x, y)
+    z = np.column_stack([np.clip((x - x.mean(0)) / x.std(0), -8, 8), np.ones(60)])
+    weight = np.where(y > 0, 30 / y.sum(), 30 / (1 - y).sum())
+
+    def loss(beta):
+        return (weight * np.logaddexp(0, np.where(y > 0, -1, 1) * (z @ beta))).sum() + 0.5 * quality.RIDGE * (beta[:-1] ** 2).sum()
+
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-4
+        assert abs(loss(model.beta + step) - loss(model.beta - step)) / 2e-4 < 1e-4
+    assert np.allclose(model.evidence(x), z @ model.beta)
+
+
+def test_quality_of_documents_without_label(spark):
+    """Labels of even ids, judged on odd ones."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.classify(docs, labels.where("doc_id % 2 = 0"), F.col("source"), F.col("lang"))
+    held = out.join(labels.where("doc_id % 2 = 1 AND quality IS NOT NULL"), "doc_id").select("keep", "quality").collect()
+    share = sum(r["keep"] == (r["quality"] == 1) for r in held) / len(held)
+    print("held-out agreement", share, len(held))
+    assert len(held) > 50 and share > 0.95
+
+
 # Substrings.
 
 
@@ -528,6 +601,26 @@ def test_kernel_model_is_the_plain_computation():
     assert language.presence([long]).sum() == len(set().union(*({int(b) for b in np.unique(at)} for _, at in language._places(long))))
 
 
+def test_kernel_ridge_is_least_squares():
+    """Root of the landmarks' kernel and ridge regression, by other routes."""
+    rng = np.random.default_rng(2)
+    own = ("the and of with that her".split(), "der und die nicht mit aus".split(), "le et les dans etre une".split())
+    texts = [language.letters(" ".join(rng.choice(own[k % 3], 9))) for k in range(45)]
+    labels = np.array([k % 3 if k % 7 else 0 for k in range(45)])
+    grams = [{int(b) for _, at in language._places(t) for b in at} for t in texts]
+    kernel = np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in grams[:12]] for x in grams])
+    values, vectors = np.linalg.eigh(kernel[:12])
+    assert values.min() > 1e-6
+    root = vectors @ np.diag(values**-0.5) @ vectors.T
+    features = np.column_stack([kernel @ root, np.ones(45)])
+    weight = 1 / np.bincount(labels)[labels]
+    left = np.vstack([features * np.sqrt(weight)[:, None], np.sqrt(language.RIDGE) * np.eye(13)])
+    signs = np.where(labels[:, None] == np.arange(3), 1.0, -1.0)
+    solved = np.linalg.lstsq(left, np.vstack([signs * np.sqrt(weight)[:, None], np.zeros((13, 3))]), rcond=None)[0]
+    model = language.Model(["a", "b", "c"], language.presence(texts), labels, landmarks=12)
+    assert np.allclose(model.values(texts), features @ solved, atol=1e-4)
+
+
 def test_languages_held_out(spark):
     rng = np.random.default_rng(2)
     own = {"en": "the and of with that".split(), "de": "der und die nicht mit".split(), "fr": "le et les dans être".split()}

@@ -53,3 +53,52 @@ def test_foreign_texts_go_and_clean_short_ones_stay(spark):
     gone = [t for i, t, *_ in rows[len(foreign) :] if i not in kept and language.letters(t).any()]
     assert not gone
     assert docs.count() == len([i for i in kept if i < 10**6])
+
+
+def nasty(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, a benchmark passage, columns named like the operators' own."""
+    rng = random.Random(7)
+    own = {"en": "the and of with that from".split(), "de": "der und die nicht mit auch".split(), "fr": "le et les dans avec pour".split()}
+    text = lambda lang, n: " ".join(rng.choice(own[lang]) + rng.choice(["a", "en", "or", "il"]) for _ in range(n))
+    rows = [(k, text(lang, 30 + k % 20), lang, f"s{k % 3}") for k, lang in enumerate(list(own) * 30)]
+    bench = text("en", 40)
+    rows += [(100, None, "en", "s0"), (101, "", "en", "s0"), (102, " 12 !?", "de", None), (103, text("fr", 30_000), None, "s1"), (104, rows[3][1], "en", None), (105, rows[3][1], "en", None), (105, rows[3][1], "en", None), (None, text("de", 50), "de", "s2"), (106, text("en", 60) + " " + bench, "en", "s1"), (107, bench, "en", "s1"), (108, "x", "fr", "s2")]
+    schema = "doc_id long, text string, lang string, source string, score double, items string, row string, n long, h long, position double, shard string, lang_pred string, hit_spans int"
+    docs = spark.createDataFrame([(*r, 0.5, "i", "r", 1, 2, 0.1, "sh", "lp", 3) for r in rows], schema)
+    return rows, docs, spark.createDataFrame([(1, bench), (2, None), (None, "")], "item_id long, text string")
+
+
+def test_each_stage_on_nasty_tables(spark, tmp_path):
+    rows, docs, benchmark = nasty(spark)
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages, sf = dict(corpus_pipeline.STAGES), str(tmp_path)
+    everything = lambda df: sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in df.collect())
+
+    kept = stages["language"](spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert {r["lang_pred"] for r in kept.collect()} == {"lp"}  # the column of that name is the document's own
+    gone = set(everything(docs)) - set(everything(kept))
+    assert {100, 101, 102} <= gone <= {100, 101, 102, 108}
+
+    kept = stages["dedup"](spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert everything(kept) == sorted([-1, *range(90), 100, 101, 102, 103, 106, 107, 108])  # 104 and 105 repeat 3
+
+    kept = stages["decontaminate"](spark, docs, sf)
+    assert kept.columns == docs.columns and everything(kept) == sorted(i for i in everything(docs) if i != 107)
+    texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert texts[100] is None and texts[101] == "" and texts[0] == rows[0][1] and texts[103] == rows[93][1]
+    assert rows[99][1].startswith(texts[106].strip()) and len(texts[106].split()) == 60 or len(texts[106].split()) >= 60
+
+    kept = stages["mix"](spark, docs, sf)
+    assert kept.columns == docs.columns
+    copies = everything(kept)
+    assert not {100, 101} & set(copies) and max(copies.count(i) for i in set(copies) - {105}) <= 3
+    assert copies == everything(stages["mix"](spark, docs.repartition(3), sf))
+
+    last = stages["shard"](spark, docs, sf)
+    assert everything(last) == everything(docs) and {r["n_bytes"] for r in last.where("doc_id IN (100, 101)").collect()} == {0}
+
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), sf)
+        assert empty.count() == 0 and (name == "shard" or empty.columns == docs.columns), name
