@@ -521,10 +521,11 @@ def _joined(spans: dict[str, list[tuple[int, int]]]) -> str:
 
 
 def find(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """The documents with n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added and n_secret (of the network)."""
+    """The documents with n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added and n_secret (of the
+    network), n_spans (all, of any kind: 0 where nothing personal or secret was found)."""
     spark = docs.sparkSession
     python_ready(spark)
-    added = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_secret"]
+    added = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_secret", "n_spans"]
     kept = [c for c in docs.columns if c not in added and (keep_text or c != text_col)]
     shared = spark.sparkContext.broadcast(trained())
 
@@ -554,7 +555,8 @@ def find(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> Dat
             base = [hashlib.sha256(_joined(row.base).encode()).hexdigest() for row in rows]
             spans = [_joined({k: row.base.get(k, []) + [(a, b) for kind, a, b in new if kind == k] for k in LEARNED}) for row, new in zip(rows, more)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), *counts, pa.array(base, pa.string()), pa.array(spans, pa.string()), pa.array(list(map(len, more)), pa.int64()), pa.array([sum(k == "secret" for k, _, _ in new) for new in more], pa.int64())], names=[*kept, *added]
+                [*(batch.column(c) for c in kept), *counts, pa.array(base, pa.string()), pa.array(spans, pa.string()), pa.array(list(map(len, more)), pa.int64()), pa.array([sum(k == "secret" for k, _, _ in new) for new in more], pa.int64()),
+                 pa.array([sum(map(len, row.base.values())) + len(new) for row, new in zip(rows, more)], pa.int64())], names=[*kept, *added]
             )
 
     schema = T.StructType([docs.schema[c] for c in kept])
