@@ -8,9 +8,10 @@ the tasks by rank.
 
 Weights travel as doubles, which hold ``floor(scale * x)`` of a double exactly if the scale is a power of two.
 
-Queries are cut into chunks of a bounded number of rows and candidates into slices; each (chunk, slice)
-cell is a task that holds one chunk and streams its slice, so memory does not depend on either table's size,
-and nothing is broadcast. Hashes over id and vector deal out the rows.
+Queries and candidates are packed into blocks of a bounded number of rows and bytes, and each block is written
+once, by one exchange. A task is a cell of the Cartesian product of both: it holds its few blocks of queries and
+streams its slice of the candidates, which are read as often as there are chunks of queries but never copied. So
+neither memory nor disk grows with the product, and nothing is broadcast.
 
 Defined results
     * Vectors that are null, empty, or hold a null, NaN or infinite component take no part on either side.
@@ -28,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -38,6 +40,10 @@ K = 20
 SCALE = 64
 QUERY_CHUNK = 4096
 BLOCK = 8192
+#: Rows of candidates that travel together; small, so that short tables have blocks for all slices.
+PACK = 1024
+#: Bytes of weights, as doubles, in a packed block at most; a longer row is a block of its own.
+BLOCK_BYTES = 1 << 22
 DENSE_SHARE = 0.5
 #: Candidates with a larger weight are in blocks of their own, so that others keep short integers.
 LARGE = 1 << 24
@@ -112,7 +118,7 @@ class _Cell:
             self.flush()
 
     def flush(self) -> None:
-        if not self.waiting or not self.ids:
+        if not self.waiting or not len(self.ids):
             return
         if self.best is None:
             self.ids, self.rows = np.concatenate(self.ids), _stack(self.rows)
@@ -146,15 +152,12 @@ class _Cell:
                 order = np.array(sorted(range(len(s)), key=lambda k: (-s[k], i[k])), np.int64) if s.dtype == object else np.lexsort((i, ~s))
                 self.best[q] = s[order[: self.k]], i[order[: self.k]]
 
-    def result(self) -> pa.RecordBatch | None:
+    def result(self):
+        """(query_id, vec_ids, scores) of each query that met a candidate."""
         self.flush()
-        if self.best is None:
-            return None
-        n = [len(x) for _, x in self.best]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(self.ids, n), pa.int64()), pa.array(np.concatenate([x for _, x in self.best]), pa.int64()), pa.array(np.concatenate([_long(x) for x, _ in self.best]), pa.int64())],
-            names=["query_id", "vec_id", "score"],
-        )
+        for q, (scores, ids) in zip(self.ids, self.best or []):
+            if len(ids):
+                yield int(q), ids.tolist(), _long(scores).tolist()
 
 
 def _stack(parts: list[np.ndarray]) -> np.ndarray:
@@ -172,23 +175,58 @@ def _dense(lists: pa.Array) -> np.ndarray:
     return out
 
 
-def _run(k: int):
-    def run(batches):
-        cell, number = None, None
+def _packer(limit: int):
+    """Rows to blocks of at most ``limit`` rows, their weights in the shortest type that holds them."""
+
+    def block(ids: list, rows: list, number: int) -> pa.RecordBatch:
+        weights = _stack(rows)
+        most = np.abs(weights).max(initial=0)
+        kind = next((t for t in ("int8", "int16", "int32") if most <= np.iinfo(t).max), "float64")
+        values = [TaskContext.get().partitionId(), number, weights.shape[1], kind, np.concatenate(ids).tobytes(), weights.astype(kind).tobytes()]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=["part", "number", "width", "kind", "ids", "weights"])
+
+    def pack(batches):
+        ids, rows, held, wide, number = [], [], 0, 0, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells, kinds = batch.column("cell").to_numpy(), batch.column("kind").to_numpy()
-            ids, rows = batch.column("id").to_numpy(), batch.column("weights")
-            cuts = [0, *(np.flatnonzero((np.diff(cells) != 0) | (np.diff(kinds) != 0)) + 1), len(cells)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if cells[lo] != number:
-                    if cell is not None and (got := cell.result()) is not None:
-                        yield got
-                    cell, number = _Cell(k), cells[lo]
-                (cell.candidates if kinds[lo] else cell.query)(ids[lo:hi], _dense(rows.slice(lo, hi - lo)))
-        if cell is not None and (got := cell.result()) is not None:
-            yield got
+            own, lists = batch.column("id").to_numpy(), batch.column("weights")
+            sizes, lo = np.diff(lists.offsets.to_numpy()), 0
+            while lo < len(own):
+                widest = np.maximum.accumulate(np.maximum(sizes[lo : lo + limit - held], wide))
+                n = int(np.count_nonzero((held + 1 + np.arange(len(widest))) * widest <= BLOCK_BYTES // 8))
+                if n or not held:
+                    n = max(1, n)
+                    ids, rows, held, wide, lo = [*ids, own[lo : lo + n].copy()], [*rows, _dense(lists.slice(lo, n))], held + n, int(widest[n - 1]), lo + n
+                if held == limit or n < len(widest):
+                    yield block(ids, rows, number)
+                    ids, rows, held, wide, number = [], [], 0, 0, number + 1
+        if held:
+            yield block(ids, rows, number)
+
+    return pack
+
+
+def _blocks(vectors: DataFrame, limit: int, parts: int):
+    """An RDD of packed blocks in ``parts`` partitions, behind one exchange: it is read again without packing again."""
+    packed = vectors.mapInArrow(_packer(limit), "part int, number int, width int, kind string, ids binary, weights binary")
+    return packed.repartition(parts).rdd
+
+
+def _unpacked(block) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(block.ids, np.int64)
+    return ids, np.frombuffer(block.weights, block.kind).reshape(len(ids), block.width).astype(float)
+
+
+def _run(k: int):
+    def run(pairs):
+        cells: dict[tuple[int, int], _Cell] = {}
+        for chunk, block in pairs:
+            if (key := (chunk.part, chunk.number)) not in cells:
+                cells[key] = _Cell(k)
+                cells[key].query(*_unpacked(chunk))
+            cells[key].candidates(*_unpacked(block))
+        for cell in cells.values():
+            yield from cell.result()
 
     return run
 
@@ -207,16 +245,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     """Both (id, weights). Each query's k best candidates: query_id, rank, vec_id, score."""
     spark = queries.sparkSession
     python_ready(spark)
-    n = queries.count()
-    chunks = max(1, math.ceil(n / QUERY_CHUNK))
+    chunks = max(1, math.ceil(queries.count() / QUERY_CHUNK))
     slices = max(1, math.ceil(4 * spark.sparkContext.defaultParallelism / chunks))
-    deal = lambda parts: F.pmod(F.xxhash64("id", "weights"), F.lit(parts)).cast("int")
-    all_of = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = queries.withColumn("chunk", deal(chunks)).withColumn("slice", all_of(slices)).withColumn("kind", F.lit(0))
-    right = candidates.withColumn("slice", deal(slices)).withColumn("chunk", all_of(chunks)).withColumn("kind", F.lit(1))
-    cells = left.unionByName(right).select((F.col("chunk") * slices + F.col("slice")).alias("cell"), "kind", "id", "weights")
-    parts = cells.repartition(chunks * slices, "cell").sortWithinPartitions("cell", "kind")
-    found = parts.mapInArrow(_run(k), "query_id long, vec_id long, score long")
+    # Queries are few and come together first, so that a chunk is full; candidates are packed where they are read.
+    left = _blocks(queries.select("id", "weights").repartition(chunks), 2 * QUERY_CHUNK, chunks)
+    right = _blocks(candidates.select("id", "weights"), PACK, slices)
+    each = spark.createDataFrame(left.cartesian(right).mapPartitions(_run(k)), "query_id long, vec_ids array<long>, scores array<long>", verifySchema=False)
+    found = each.select("query_id", F.explode(F.arrays_zip("vec_ids", "scores")).alias("x")).select("query_id", F.col("x.vec_ids").alias("vec_id"), F.col("x.scores").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -227,6 +227,41 @@ def test_top_k_of_fewer_candidates_and_large_weights(spark, tmp_path):
         topk.top_k(less.where("id = 0"), less).collect()
 
 
+def test_top_k_of_slices_of_several_blocks(spark):
+    # Over 16 slices, so that each has more candidates than two blocks.
+    n = 300_000
+    df = spark.range(n).selectExpr("id AS vec_id", "array(id * 7919 % 1009 / 64d, id * 31 % 37 / 64d, id % 11 / -64d) AS embedding")
+    v = topk.quantized(df, "vec_id", "embedding")
+    got = sorted(map(tuple, topk.top_k(v.where("id IN (20, 100000, 299980)"), v).collect()))
+    i = np.arange(n)
+    x = np.stack((i * 7919 % 1009, i * 31 % 37, -(i % 11)), 1)
+    want = []
+    for q in (20, 100_000, 299_980):
+        scores = x @ x[q]
+        at = np.lexsort((i, -scores))
+        want += [(q, k + 1, int(c), int(scores[c])) for k, c in enumerate(at[at != q][:20])]
+    assert got == want
+
+
+def test_top_k_copies_no_candidates(spark, monkeypatch):
+    def written() -> int:
+        every = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(every.apply(k).totalShuffleWrite() for k in range(every.size()))
+
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(0, 0.2, 32)]) for i in range(3000)], "vec_id long, embedding array<double>").repartition(4).localCheckpoint()
+    v = topk.quantized(df, "vec_id", "embedding")
+    found, cost = [], []
+    for chunk in (4096, 8):
+        monkeypatch.setattr(topk, "QUERY_CHUNK", chunk)
+        before = written()
+        found.append(sorted(map(tuple, topk.top_k(v.where("id % 20 = 0"), v, 1).collect())))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        cost.append(written() - before)
+    assert found[0] == found[1] and len(found[0]) == 150
+    assert cost[1] < 3 * cost[0]  # 19 chunks of queries
+
+
 def test_top_k_of_the_sql(spark, tmp_path):
     import duckdb
 
