@@ -83,14 +83,20 @@ def check_radiometry(df: DataFrame, keys: list[str], value: str = "value") -> Da
     return df.groupBy(*keys).agg(F.coalesce(ok, F.lit(False)).alias("radiometry_pass"))
 
 
+def _fixed(x: Column, digits: int) -> Column:
+    """A number with so many digits, rounded by its exact binary value and half to even, as printf of C does;
+    ``format_string`` rounds its shortest decimal form half up."""
+    return F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * digits))
+
+
 def reject_reason(dimension: Column, radiometry: Column, cloud: Column, snow: Column, conf: Column, max_cloud: float = 0.30, max_snow: float = 1.0, min_confidence: float = 0.01) -> Column:
     """The first reason that holds, or the empty text."""
     return (
         F.when(~dimension, F.lit("dimension check failed"))
         .when(~radiometry, F.lit("radiometry check failed"))
-        .when(cloud > max_cloud, F.format_string(f"cloud %.1f%% > {max_cloud * 100:.1f}%%", cloud * 100))
-        .when(snow > max_snow, F.format_string(f"snow %.1f%% > {max_snow * 100:.1f}%%", snow * 100))
-        .when(conf < min_confidence, F.format_string(f"confidence %.2f < {min_confidence:.2f}", conf))
+        .when(cloud > max_cloud, F.concat(F.lit("cloud "), _fixed(cloud * 100, 1), F.lit(f"% > {max_cloud * 100:.1f}%")))
+        .when(snow > max_snow, F.concat(F.lit("snow "), _fixed(snow * 100, 1), F.lit(f"% > {max_snow * 100:.1f}%")))
+        .when(conf < min_confidence, F.concat(F.lit("confidence "), _fixed(conf, 2), F.lit(f" < {min_confidence:.2f}")))
         .otherwise(F.lit(""))
     )
 

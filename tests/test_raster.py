@@ -512,3 +512,12 @@ def test_scenes_without_layers_and_sharpening_that_cannot_be(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "scenes/spectral")).count() == 9
     empty = scene_plans.materialise_scenes(items.limit(0), px, no_grid, none, cfg)
     assert empty.reports.count() == 0 and empty.spectral.count() == 0
+
+
+def test_gate_rounds_percentages_as_printf(spark):
+    shares = sorted({k / n for n in range(60, 161, 20) for k in range(n // 5 + 1, n)})
+    m = spark.createDataFrame([(i, x, 0.0) for i, x in enumerate(shares)] + [(-1 - i, 0.0, x) for i, x in enumerate(shares)], "scene_id long, cloud_ratio double, snow_ratio double")
+    got = {r[0]: r[1] for r in quality.scene_gate(m.select("scene_id"), m, max_cloud=0.2, max_snow=0.105).select("scene_id", "reject_reason").collect()}
+    assert 33 / 80 in shares and "%.1f" % (33 / 80 * 100) == "41.2"
+    for i, x in enumerate(shares):
+        assert got[i] == "cloud %.1f%% > 20.0%%" % (x * 100) and got[-1 - i] == "snow %.1f%% > 10.5%%" % (x * 100)
