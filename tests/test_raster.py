@@ -521,3 +521,22 @@ def test_gate_rounds_percentages_as_printf(spark):
     assert 33 / 80 in shares and "%.1f" % (33 / 80 * 100) == "41.2"
     for i, x in enumerate(shares):
         assert got[i] == "cloud %.1f%% > 20.0%%" % (x * 100) and got[-1 - i] == "snow %.1f%% > 10.5%%" % (x * 100)
+
+
+def test_stack_log_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from terraframe.plans import queries
+
+    # One scene of 80 pixels, 33 of them cloud, and one of 80 with 3; class 3 and 4 by the remainder of the order.
+    cloudy, clear = [next(o for o in range(12) if (o * 7 + 1) % 12 == c) for c in (3, 4)]
+    rows = [(12 * i + (cloudy if i < n else clear), 1, s) for s, n in ((4, 33), (8, 3)) for i in range(80)]
+    li = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long").withColumn("l_extendedprice", F.lit(1.0))
+    li.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(4,), (8,), (12,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ORACLES["stack_log"]).fetchall())
+    assert want == [(4, "scl_computed", "cloud 41.2% > 20.0%", False), (8, "scl_computed", "", True), (12, "none", "", True)]
+    assert sorted(map(tuple, queries.QUERIES["stack_log"](spark, str(tmp_path)).collect())) == want
