@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,10 +44,14 @@ def top_scenes(items: DataFrame, keys: list[str], k: int, ts: str = "ts", tie: s
 
 def search(catalog: DataFrame, locations: list[Location], cfg: SearchConfig = SearchConfig()) -> DataFrame:
     """Items whose box meets a location's and whose time is in range: the latest ``max_items`` found, of these
-    ``keep_items``. Locations are given by the caller, a few literals, so each is one pushed-down filter."""
-    found = None
+    ``keep_items``. Locations are given by the caller, a few literals, so each is one pushed-down filter. Edges count as
+    met: bounds are sums of the decimals as they are written, and exact against decimal columns."""
+    found, written = None, lambda x: Decimal(str(x))
+    zoneless = dict(catalog.dtypes)["ts"] == "timestamp_ntz"
+    at = lambda t: F.lit(t.isoformat(" ")).cast("timestamp_ntz") if zoneless and t.tzinfo is None else F.lit(t)
     for k, place in enumerate(locations):
-        near = (F.col("max_lon") >= place.lon - cfg.half) & (F.col("min_lon") <= place.lon + cfg.half) & (F.col("max_lat") >= place.lat - cfg.half) & (F.col("min_lat") <= place.lat + cfg.half)
-        part = catalog.where(near & F.col("ts").between(cfg.resolved_start(), cfg.resolved_end())).withColumns({"location_id": F.lit(k), "location": F.lit(place.name), "lon": F.lit(place.lon), "lat": F.lit(place.lat)})
+        lon, lat, half = written(place.lon), written(place.lat), written(cfg.half)
+        near = (F.col("max_lon") >= F.lit(lon - half)) & (F.col("min_lon") <= F.lit(lon + half)) & (F.col("max_lat") >= F.lit(lat - half)) & (F.col("min_lat") <= F.lit(lat + half))
+        part = catalog.where(near & F.col("ts").between(at(cfg.resolved_start()), at(cfg.resolved_end()))).withColumns({"location_id": F.lit(k), "location": F.lit(place.name), "lon": F.lit(place.lon), "lat": F.lit(place.lat)})
         found = part if found is None else found.unionByName(part)
     return top_scenes(found, ["location_id"], min(cfg.max_items, cfg.keep_items)).drop("rank")

@@ -540,3 +540,22 @@ def test_stack_log_of_the_sql(spark, tmp_path):
     want = sorted(con.execute(queries.ORACLES["stack_log"]).fetchall())
     assert want == [(4, "scl_computed", "cloud 41.2% > 20.0%", False), (8, "scl_computed", "", True), (12, "none", "", True)]
     assert sorted(map(tuple, queries.QUERIES["stack_log"](spark, str(tmp_path)).collect())) == want
+
+
+def test_catalog_search_meets_edges_as_its_sql(spark, tmp_path):
+    from datetime import datetime
+
+    import duckdb
+
+    from terraframe.plans import queries
+
+    # One item at each edge of the two boxes, or just beside it.
+    first = datetime(1994, 1, 1)
+    for name, box, lat in (("a", (14, 15, 16, 4, 5, 6, 24, 25, 26), 40), ("b", (64, 65, 66, 54, 55, 56, 74, 75, 76), 80), ("c", (20,) * 9, 0)):
+        rows = [(i * 100 + (lat or (24, 25, 26, 35, 40, 44, 45, 46, 50)[i]), c, first) for i, c in enumerate(box)]
+        where = tmp_path / name
+        spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(str(where / "orders.parquet"))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW orders AS SELECT * FROM '{where}/orders.parquet/*.parquet'")
+        want = sorted(con.execute(queries.ORACLES["catalog_search"]).fetchall())
+        assert sorted(map(tuple, queries.QUERIES["catalog_search"](spark, str(where)).collect())) == want and 0 < len(want) < 9
