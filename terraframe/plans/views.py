@@ -67,11 +67,15 @@ def neighbours(radius: int) -> str:
   WHERE n.vec_id = p.vec_id AND n.row = greatest(0, least(7, p.row + a)) AND n.col = greatest(0, least(7, p.col + b)))"""
 
 
-def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, t, v): daily sums of a user's events over all days; a day without any is a gap."""
+def series(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    """(user_id, t, v): daily sums of a user's events over all days; a day without any is a gap. ordered: events are dealt
+    by their sums and added in the order of their numbers, so that sums do not hang, in their last bit, on how files are split."""
     e = table(spark, sf_dir, "events")
     span = e.agg(F.to_date(F.min("ts")).alias("d0"), F.datediff(F.max("ts"), F.min("ts")).alias("days"))  # one row
-    daily = e.crossJoin(F.broadcast(span)).groupBy("user_id", F.datediff("ts", "d0").alias("t")).agg(F.sum("value").alias("v"))
+    dated = e.crossJoin(F.broadcast(span)).select("user_id", F.datediff("ts", "d0").alias("t"), "event_id", "value")
+    if ordered:
+        dated = dated.repartition("user_id", "t").sortWithinPartitions("user_id", "t", "event_id")
+    daily = dated.groupBy("user_id", "t").agg(F.sum("value").alias("v"))
     users = daily.select("user_id").distinct().crossJoin(F.broadcast(span))
     grid = users.select("user_id", F.explode(F.sequence(F.lit(0), F.col("days"))).alias("t"))
     return grid.join(daily, ["user_id", "t"], "left")

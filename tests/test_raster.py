@@ -559,3 +559,38 @@ def test_catalog_search_meets_edges_as_its_sql(spark, tmp_path):
         con.execute(f"CREATE VIEW orders AS SELECT * FROM '{where}/orders.parquet/*.parquet'")
         want = sorted(con.execute(queries.ORACLES["catalog_search"]).fetchall())
         assert sorted(map(tuple, queries.QUERIES["catalog_search"](spark, str(where)).collect())) == want and 0 < len(want) < 9
+
+
+def test_phenology_metrics_of_the_sql(spark, tmp_path):
+    """Values in tenths, so that many peaks, thresholds and halves of the last digit are met but for the last bit of sums."""
+    from datetime import datetime, timedelta
+
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from terraframe.plans import queries
+
+    rng, first = np.random.default_rng(8), datetime(2024, 1, 1)
+    n = 132_000
+    at = np.sort(rng.integers(0, 30 * 86400, n))
+    events = pa.table({"event_id": np.arange(n), "ts": pa.array([first + timedelta(seconds=int(x)) for x in at], pa.timestamp("us")), "user_id": rng.integers(0, 2000, n), "value": rng.integers(1, 13, n) / 10})
+    (tmp_path / "other" / "events.parquet").mkdir(parents=True)
+    pq.write_table(events, tmp_path / "events.parquet")
+    for k in range(3):
+        pq.write_table(events.take(np.arange(n)[::-1][k::3]), tmp_path / "other" / "events.parquet" / f"{k}.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = sorted(con.execute(queries.ORACLES["phenology_metrics"]).fetchall(), key=lambda r: r[0])
+    for where in (tmp_path, tmp_path / "other"):
+        got = sorted(map(tuple, queries.QUERIES["phenology_metrics"](spark, str(where)).collect()))
+        assert [(g, w) for g, w in zip(got, want, strict=True) if g != w] == []
+
+
+def test_scaled_rounding(spark):
+    from terraframe.plans import queries
+
+    x = [27.193749999999998, 7.293749999999999, 1.6437499999999998, 0.06624999999999975, -2.00005, None]
+    got = queries.rounded_scaled(spark.createDataFrame(list(enumerate(x)), "i int, x double"), 4).orderBy("i").collect()
+    assert [r["x"] for r in got] == [27.1938, 7.2938, 1.6438, 0.0662, -2.0001, None]
